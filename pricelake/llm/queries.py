@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, quality, secrets, toxicity
+from . import licenses, mixing, neardup, quality, secrets, toxicity, warc
 from .common import held_out
 
 
@@ -33,6 +33,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": neardup.NEAR_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op4_near_duplicates": neardup.NEAR_SQL, "op5_warc": warc.WARC_SQL, "op10_mixing": mixing.MIX_SQL}
