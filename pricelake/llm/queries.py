@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, neardup, quality, secrets, toxicity, warc
+from . import ann, licenses, mixing, neardup, packing, quality, secrets, toxicity, warc
 from .common import held_out
 
 
@@ -41,6 +41,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
