@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, neardup, packing, quality, secrets, toxicity, warc
+from . import ann, licenses, mixing, neardup, packing, quality, secrets, substrings, toxicity, warc
 from .common import held_out
 
 
@@ -37,6 +37,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(read(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read(spark, sf_dir, "documents"))
 
@@ -58,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": neardup.NEAR_SQL, "op5_warc": warc.WARC_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op4_near_duplicates": neardup.NEAR_SQL, "op5_warc": warc.WARC_SQL, "op6_substrings": substrings.CUT_SQL, "op10_mixing": mixing.MIX_SQL}
