@@ -49,15 +49,17 @@ def mixed(documents: DataFrame, carry: list[str] | None = None) -> DataFrame:
     carry = carry or []
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = documents.select("doc_id", "source", *carry, size_of().alias("size"), key.alias("__key"), F.xxhash64("text").alias("__text")).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
-    ranges = sized.groupBy("source", "__range").agg(F.sum("size").alias("__range_size"))
+    # A key without nulls: windows and join then need the same partitioning, and rows are shuffled once.
+    sized = sized.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    ranges = sized.groupBy("source", "__source", "__range").agg(F.sum("size").alias("__range_size"))
     goals = targets(ranges.groupBy("source").agg(F.sum("__range_size").alias("source_size")))
-    before = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(F.col("source").alias("__s"), F.col("__range").alias("__r"), F.coalesce(F.sum("__range_size").over(before.partitionBy("source")), F.lit(0)).alias("__offset"))
+    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(F.col("source").alias("__s"), "__source", "__range", F.coalesce(F.sum("__range_size").over(before), F.lit(0)).alias("__offset"))
     goals = goals.select(F.col("source").alias("__g"), "source_size", "target")
-    facts = offsets.join(goals, F.col("__s").eqNullSafe(F.col("__g"))).select("__s", "__r", "__offset", "source_size", "target")
-    inside = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    facts = offsets.join(goals, F.col("__s").eqNullSafe(F.col("__g"))).select("__source", "__range", "__offset", "source_size", "target")
+    inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("__within", F.sum("size").over(inside) - F.col("size"))
-    joined = placed.join(facts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    joined = placed.join(facts, ["__source", "__range"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - F.col("__offset") - F.col("__within")
