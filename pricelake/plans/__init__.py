@@ -1,0 +1,4 @@
+"""Every operator as a query over the tables, with the SQL that gives the same rows."""
+
+from . import column_queries, series_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
