@@ -44,29 +44,38 @@ def contains_any(text: Column, phrases) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in phrases))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def number(text: Column | str) -> Column:
     """COL-1: the first number of a text, whatever its separators."""
     raw = F.regexp_replace(F.regexp_extract(as_column(text).cast("string"), r"[-+]?\d[\d.,]*", 0), r"[.,]+$", "")
-    no_dots, no_commas = F.replace(raw, F.lit("."), F.lit("")), F.replace(raw, F.lit(","), F.lit(""))
-    comma, dot = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
-    decimal_comma = F.replace(no_dots, F.lit(","), F.lit("."))
-    clean = (
-        F.when(comma & dot, F.when(raw.rlike(r",[^.]*$"), decimal_comma).otherwise(no_commas))
-        .when(comma, F.when(raw.rlike(r"^[^,]*,\d{1,2}$"), decimal_comma).otherwise(no_commas))
-        .when(raw.rlike(r"\..*\."), no_dots)
-        .otherwise(raw)
-    )
-    return clean.try_cast("double")
+
+    def clean(raw: Column) -> Column:
+        no_dots, no_commas = F.replace(raw, F.lit("."), F.lit("")), F.replace(raw, F.lit(","), F.lit(""))
+        comma, dot = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
+        decimal_comma = F.replace(no_dots, F.lit(","), F.lit("."))
+        plain = (
+            F.when(comma & dot, F.when(raw.rlike(r",[^.]*$"), decimal_comma).otherwise(no_commas))
+            .when(comma, F.when(raw.rlike(r"^[^,]*,\d{1,2}$"), decimal_comma).otherwise(no_commas))
+            .when(raw.rlike(r"\..*\."), no_dots)
+            .otherwise(raw)
+        )
+        return plain.try_cast("double")
+
+    return bound(raw, clean)
 
 
 def currency(text: Column | str) -> Column:
     """COL-2: the first symbol of the list that stands in the text, else the first known code."""
-    t = as_column(text).cast("string")
-    tests = [(F.contains(t, F.lit(s)), code) for s, code in CURRENCY_SYMBOLS] + [(F.upper(t).rlike(rf"\b{c}\b"), c) for c in CURRENCY_CODES]
-    out = F.when(*tests[0])
-    for test, code in tests[1:]:
-        out = out.when(test, code)
-    return out
+
+    def find(t: Column) -> Column:
+        tests = [(F.contains(t, F.lit(s)), code) for s, code in CURRENCY_SYMBOLS] + [(F.upper(t).rlike(rf"\b{c}\b"), c) for c in CURRENCY_CODES]
+        return reduce(lambda out, x: out.when(*x), tests[1:], F.when(*tests[0]))
+
+    return bound(as_column(text).cast("string"), find)
 
 
 def price(text: Column | str) -> Column:

@@ -82,3 +82,38 @@ SQL["listings"] = """listings AS (SELECT item_id, site_id, seen_at, tie1, tie2,
 def with_views(query: str, *names: str) -> str:
     """A comparison query that starts with the named views."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + ("\n" + query if query.lstrip().upper().startswith("SELECT") else ",\n" + query)
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product page for each part: JSON-LD, microdata or OpenGraph by part key modulo 3."""
+    cents = F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long")
+    price = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    stock = F.when(F.col("p_size") % 2 == 0, "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock")
+    fields = {"{n}": F.col("p_name"), "{b}": F.trim("p_brand"), "{p}": price, "{a}": stock, "{k}": F.col("p_partkey").cast("string")}
+
+    def fill(template: str):
+        out = F.lit(template)
+        for name, value in fields.items():
+            out = F.replace(out, F.lit(name), value)
+        return out
+
+    shop = "<html><head><title>{n} | Shop</title><style>p {}</style>"
+    jsonld = shop + '<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "Product", "name": "{n}", "sku": "{k}", "brand": {"@type": "Brand", "name": "{b}"}, "offers": {"@type": "Offer", "price": "{p}", "priceCurrency": "USD", "availability": "{a}"}}]}</script></head><body><h1>{n}</h1><p class="price">${p}</p></body></html>'
+    micro = shop + '</head><body itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">{n}</h1><span itemprop="brand">{b}</span><meta itemprop="priceCurrency" content="USD"><span itemprop="price" content="{p}">{p} dollars</span><link itemprop="availability" href="{a}"></body></html>'
+    graph = shop + '<meta property="og:title" content="{n}"><meta property="og:type" content="product"><meta property="product:price:amount" content="{p}"><meta property="product:price:currency" content="USD"><meta property="product:brand" content="{b}"><meta property="og:image" content="/i/{k}.jpg"></head><body><h1> {n} </h1><div class="cost">USD {p}</div><p>Add to cart</p></body></html>'
+    k = F.col("p_partkey") % 3
+    html = F.when(k == 0, fill(jsonld)).when(k == 1, fill(micro)).otherwise(fill(graph))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.test/product/"), fields["{k}"]).alias("url"), html.alias("html"))
+
+
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing page for each brand: its parts as a JSON-LD item list, in hydration state and as inline JSON."""
+    cents = F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long")
+    item = F.struct(F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("name"), (cents / 100).cast("decimal(18,2)").alias("price"), F.concat(F.lit("/item/"), F.col("p_partkey").cast("string")).alias("url"))
+    g = table(spark, sf_dir, "part").groupBy(F.trim("p_brand").alias("brand")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    ld = F.to_json(F.struct(F.lit("ItemList").alias("@type"), F.transform("items", lambda x: F.struct(F.lit("ListItem").alias("@type"), F.struct(F.lit("Product").alias("@type"), x["name"].alias("name"), x["sku"].alias("sku"), x["url"].alias("url"), F.struct(x["price"].alias("price"), F.lit("USD").alias("priceCurrency")).alias("offers")).alias("item"))).alias("itemListElement")))
+    state = F.to_json(F.struct(F.struct(F.struct(F.col("items").alias("products")).alias("pageProps")).alias("props")))
+    inline = F.to_json(F.struct(F.lit(1).alias("version"), F.col("items").alias("products")))
+    cards = F.array_join(F.transform("items", lambda x: F.concat(F.lit('<li class="product-card"><a class="name" href="'), x["url"], F.lit('">'), x["name"], F.lit('</a><span class="amount">$'), x["price"].cast("string"), F.lit("</span></li>"))), "")
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), ld, F.lit('</script></head><body><ul>'), cards, F.lit('</ul><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script><script>var shop = "), inline, F.lit("; init(shop);</script></body></html>"))
+    return g.select("brand", F.concat(F.lit("https://shop.test/brand/"), "brand").alias("url"), html.alias("html"))
