@@ -13,7 +13,7 @@ Large groups stay linear. Documents with equal sets become one class first, and
 id of a class is compared. In a bucket, every class is compared with the smallest and then with
 the largest id only; connected components of the confirmed links follow. Buckets whose members
 still lie in different components then compare members of different components with each other,
-so that no link is lost.
+so that no link is lost; prefix filtering on whole sets first rules out the pairs that cannot reach the threshold.
 
 Defined cases: null or blank texts have empty sets and stay alone; rows that share an id are one
 document (the union of their sets); a null id stays alone; an empty table gives no rows.
@@ -177,6 +177,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def shareable(texts: DataFrame) -> DataFrame:
+    """From doc_id, component, texts: doc_id, n, common (shingles that another component holds too), and first (those of which a link to another component needs one).
+
+    Prefix filtering over whole sets: in any common order, a set of n shingles and one that shares
+    three quarters of them meet in their first n - ceil(0.75 n) + 1. Shingles that only one component
+    holds stand first in the order and cannot meet, the others follow by frequency, so edited copies
+    with many shingles of their own need no comparison at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        shingler = Shingler()
+        for batch in batches:
+            sets = [shingler_union(shingler, t).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "component", "shingles"])
+
+    sets = texts.select("doc_id", "component", "texts").mapInArrow(run, "doc_id long, component long, shingles array<long>")
+    each = written(sets.select("doc_id", "component", F.explode("shingles").alias("shingle")), "shingles")
+    across = each.groupBy("shingle").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.count("*").alias("times")).where("c_low < c_high").select("shingle", "times")
+    common = each.join(across, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    # All n shingles less those that must be shared, plus one, less those of this component alone.
+    n, common_n = F.col("n"), F.size("common")
+    left = n - F.ceil(n * PERCENT / 100) + 1 - (n - common_n)
+    shingles = F.transform("common", lambda x: x["shingle"])
+    enough = (left > 0) & (100 * common_n >= PERCENT * n)
+    return each.groupBy("doc_id").agg(F.count("*").alias("n")).join(common, "doc_id").where(enough).select("doc_id", "n", shingles.alias("common"), F.slice(shingles, F.lit(1), left.cast("int")).alias("first"))
+
+
 def shingler_union(shingler: Shingler, texts: list[str | None]) -> np.ndarray:
     sets = [shingler.of(t) for t in texts]
     return sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
@@ -207,6 +234,29 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
 
 
+def mixed_buckets(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """Members (doc_id, bucket, low, high) of the buckets that hold several components, with their component."""
+    placed = members.join(whole, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low < c_high").select("bucket")
+    return written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+
+
+def links_across(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different components, confirmed on full sets.
+
+    Different components share nothing but the shingles called common here, so the intersection of
+    those is that of the sets; the cheap bounds come first.
+    """
+    facts = shareable(texts.join(placed.select("doc_id", "component").distinct(), "doc_id"))
+    left = written(placed.select("doc_id", "bucket", "component").join(facts, "doc_id"), "shareable")
+    right = left.toDF(*(f"{c}_b" if c != "bucket" else c for c in left.columns))
+    most, shared = F.least(F.size("common"), F.size("common_b")), F.size(F.array_intersect("common", "common_b"))
+    bound = 100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most)
+    near = 100 * shared >= PERCENT * (F.col("n") + F.col("n_b") - shared)
+    met = left.join(right, "bucket").where("component < component_b").where(bound & F.arrays_overlap("first", "first_b") & near)
+    return met.select(F.greatest("doc_id", "doc_id_b").alias("a"), F.least("doc_id", "doc_id_b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set), n_links for every document."""
     sketches = written(sketched(documents), "sketches")
@@ -226,25 +276,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = written(verified(tested, texts), "links")
     whole = components(links)
 
-    for kind in ("largest", "all"):
-        placed = members.join(whole, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low < c_high").select("bucket")
-        placed = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
-        if not placed.limit(1).count():
-            break
-        if kind == "largest":
-            ends = placed.where("doc_id = high").select("bucket", F.col("component").alias("c_high"))
-            pairs = placed.where("doc_id < high").join(ends, "bucket").where("component <> c_high").select(F.col("doc_id").alias("a"), F.col("high").alias("b"))
-        else:
-            other = placed.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
-            pairs = placed.join(other, "bucket").where("component < c_b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
-        fresh = written(likely(pairs.distinct(), first).join(tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "pairs")
-        more = written(verified(fresh, texts), "links")
-        tested = tested.unionByName(fresh)
+    def extended(more: DataFrame) -> None:
+        nonlocal links, whole
         if more.limit(1).count():
             links = links.unionByName(more)
             whole = components(links)
 
+    placed = mixed_buckets(members, whole)
+    if placed.limit(1).count():
+        ends = placed.where("doc_id = high").select("bucket", F.col("component").alias("c_high"))
+        pairs = placed.where("doc_id < high").join(ends, "bucket").where("component <> c_high").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
+        done = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        extended(written(verified(written(likely(pairs, first).join(done, ["a", "b"], "left_anti"), "pairs"), texts), "links"))
+        placed = mixed_buckets(members, whole)
+    if placed.limit(1).count():
+        extended(written(links_across(placed, texts), "links"))
+
     n_links = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     facts = classes.join(whole.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left").join(n_links, "class_id", "left")
     facts = facts.select("digest", F.col("n_shingles").alias("__n"), "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
