@@ -18,10 +18,20 @@ ORACLE_SQL = None
 BROADCAST_IDS = 2_000_000
 
 
+#: Columns that stages read; others are carried under names that clash with nothing.
+READ = ("doc_id", "text", "source", "lang", "n_chars")
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """docs with every column that no stage reads under a name of its own."""
+    return docs.toDF(*(c if c in READ else f"__extra{i}" for i, c in enumerate(docs.columns)))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more."""
-    net = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, net, docs.columns).where("predicted = 0").select(*docs.columns)
+    plain = hidden(docs)
+    net = toxicity.fitted(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(plain, net, plain.columns).where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,24 +46,25 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret in the text."""
-    found = secrets.scanned(docs, docs.columns)
+    plain = hidden(docs)
+    found = secrets.scanned(plain, plain.columns)
     masked = found.withColumn("text", secrets.redacted("text", "spans"))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked.select(*plain.columns).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents to meet the sources' targets; the document at a cut is shortened to the words taken."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mixing.mixed(docs, rest)
+    plain = hidden(docs)
+    mixed = mixing.mixed(plain, [c for c in plain.columns if c not in ("doc_id", "source")])
     copies = mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size"))
     short = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1), F.lit(1), words.cast("int")), " ")
     copies = copies.withColumn("text", F.when(words < F.col("size"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         copies = copies.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return copies.select(*docs.columns)
+    return copies.select(*plain.columns).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

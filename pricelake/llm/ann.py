@@ -122,7 +122,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, le
     classes = written(classes, "vectors")
     total = classes.count()
     sample = classes.select("class_id", "vector").orderBy(F.xxhash64("class_id", F.lit(5)), "class_id").limit(SAMPLE).collect() if total else []
-    points = np.array([r["vector"] for r in sorted(sample, key=lambda r: r["class_id"])], float).reshape(len(sample), -1)
+    points = np.array([r["vector"] for r in sorted(sample, key=lambda r: r["class_id"])], float).reshape(len(sample), -1 if sample else 1)
     forest = spark.sparkContext.broadcast(grown(points, total, trees, leaf) if total else [])
     rows = find * len(points) / max(total, 1)
 

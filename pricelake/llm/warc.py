@@ -76,9 +76,22 @@ def _parsed(value: str) -> dict[str, Column]:
     return {"payload": payload, "http_bytes": F.regexp_extract(http, r"(?im)^content-length:[ \t]*(\d+)", 1).try_cast("long")}
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block, seq: the text between occurrences of the magic, in order."""
+    return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """Segments with the offset of the magic before each; what stands before a file's first magic is left out."""
+    by_file = Window.partitionBy("file").orderBy("block", "seq")
+    size = F.col("octets") + F.when(F.lead("octets").over(by_file).isNull(), 0).otherwise(len(MAGIC))
+    placed = found.withColumn("after", F.sum(size).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
+    return placed.where("after IS NOT NULL").withColumn("offset", F.col("after") - len(MAGIC)).drop("after")
+
+
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """A row for each occurrence of the magic: file, place, header, octets, link (octets to the successor), whole or else its text."""
-    raw = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    raw = _raw(spark, path)
     header = F.substring_index("value", END, 1)
     cut = raw.withColumn("octets", _octets(F.col("value"))).withColumn("header", F.when(F.col("value").startswith("WARC-") & F.contains("value", F.lit(END)), header))
     length = _field("header", "content-length").try_cast("long")
@@ -108,19 +121,22 @@ def reachable(runs: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """record_id, type, refers_to, target, payload_bytes, payload_digest of every record in the archives under path."""
     found = written(segments(spark, path), "segments")
-    by_file = Window.partitionBy("file").orderBy("block", "seq")
-    size = F.col("octets") + F.when(F.lead("octets").over(by_file).isNull(), 0).otherwise(len(MAGIC))
-    placed = found.withColumn("after", F.sum(size).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
-    # The first segment is what stands before the first magic; a magic precedes each later one.
-    placed = placed.where("after IS NOT NULL").withColumn("offset", F.col("after") - len(MAGIC)).withColumn("next", F.col("offset") + F.col("link"))
+    placed = _placed(found).withColumn("next", F.col("offset") + F.col("link"))
     in_file = Window.partitionBy("file").orderBy("offset")
     placed = placed.withColumn("follower", F.lead("offset").over(in_file)).withColumn("before", F.lag("next").over(in_file))
     leaps = placed.where("next IS NOT NULL AND follower IS NOT NULL AND next <> follower").select("file", F.col("next").alias("offset")).distinct().withColumn("target", F.lit(True))
     head = (F.col("offset") == 0) | F.col("target").isNotNull() | ~F.coalesce(F.col("before") == F.col("offset"), F.lit(False))
-    chained = placed.join(leaps, ["file", "offset"], "left").withColumn("run", F.sum(head.cast("long")).over(in_file)).drop("target", "before", "after")
+    chained = placed.join(leaps, ["file", "offset"], "left").withColumn("run", F.sum(head.cast("long")).over(in_file)).drop("target", "before")
     runs = written(chained.groupBy("file", "run").agg(F.min("offset").alias("start"), F.max_by("next", "offset").alias("next")), "runs")
     kept = reachable(runs).withColumn("reached", F.lit(True))
     marked = chained.join(kept, ["file", "run"], "left").withColumn("record", F.last(F.when(F.col("reached") & F.col("header").isNotNull(), F.col("offset")), ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
+    # Whole records inside a payload, whose text was not kept: those files are read once more.
+    inner = marked.where("record IS NOT NULL AND reached IS NULL AND whole").select("file", "offset")
+    if inner.limit(1).count():
+        inner = written(inner, "inner")
+        again = _placed(_raw(spark, path).join(inner.select("file").distinct(), "file", "left_semi").withColumn("octets", _octets(F.col("value"))))
+        text = inner.join(again.select("file", "offset", F.col("value").alias("again")), ["file", "offset"])
+        marked = marked.join(text, ["file", "offset"], "left").withColumn("value", F.coalesce("value", "again")).drop("again")
     single = marked.where("reached AND header IS NOT NULL AND whole")
     # Records with the magic inside: their own segment, and the unreached ones up to their end.
     several = marked.where("record IS NOT NULL AND NOT (coalesce(reached, false) AND whole)").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "octets", "value"))).alias("parts"), F.min_by("header", "offset").alias("header"), F.min_by("link", "offset").alias("link"), F.min("offset").alias("offset")).where("offset = record")
