@@ -16,7 +16,7 @@ still lie in different components then compare members of different components w
 so that no link is lost; prefix filtering on whole sets first rules out the pairs that cannot reach the threshold.
 
 Defined cases: null or blank texts have empty sets and stay alone; rows that share an id are one
-document (the union of their sets); a null id stays alone; an empty table gives no rows.
+document (the union of their sets), which each of them returns; a null id stays alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -260,9 +260,11 @@ def links_across(placed: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set), n_links for every document."""
     sketches = written(sketched(documents), "sketches")
-    repeated = sketches.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if repeated.limit(1).count():
-        again = texts_of(documents, repeated)
+    repeated = sketches.groupBy("doc_id").agg(F.count("*").cast("int").alias("times")).where("times > 1 AND doc_id IS NOT NULL")
+    some_repeat = repeated.limit(1).count() > 0
+    if some_repeat:
+        repeated = written(repeated, "repeated")
+        again = texts_of(documents, repeated.select("doc_id"))
         sketches = written(sketches.join(repeated, "doc_id", "left_anti").unionByName(sketched_unions(again)), "sketches")
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     first = written(sketches.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "classes")
@@ -296,6 +298,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     facts = classes.join(whole.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left").join(n_links, "class_id", "left")
     facts = facts.select("digest", F.col("n_shingles").alias("__n"), "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(facts, (sketches["digest"] == facts["digest"]) & (F.col("n_shingles") == F.col("__n")) & F.col("doc_id").isNotNull(), "left")
+    if some_repeat:
+        out = out.join(repeated, "doc_id", "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1)))))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
