@@ -39,6 +39,7 @@ LONG_PREFIX = 50_000
 BROADCAST_IDS = 2_000_000
 LAST = (1 << 63) - 1
 SUFFIX = np.dtype([("first", "<u8"), ("second", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i4")])
+FLAG = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<i4")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -118,16 +119,33 @@ def earliest(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, (s["doc"] != s["doc"][head]) | (s["start"] != s["start"][head])
 
 
-def flags(s: np.ndarray) -> pa.RecordBatch:
-    """doc, row, starts of the flagged suffixes, a row for each text."""
-    s = s[np.lexsort((s["start"], s["row"], s["doc"]))]
+def packed(s: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The groups that occur, and the records of each as bytes."""
+    order = np.argsort(group, kind="stable")
+    group, s = group[order], s[order]
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(s) else np.zeros(0, int)
+    return group[cut], [x.tobytes() for x in np.split(s, cut[1:])] if len(s) else []
+
+
+def flags(s: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Flagged windows packed by bucket of documents."""
+    f = np.zeros(len(s), FLAG)
+    for c in FLAG.names:
+        f[c] = s[c]
+    mixed = (f["doc"].astype(np.uint64) * _MIX) >> np.uint64(20)
+    return packed(f, (mixed % np.uint64(buckets)).astype(np.int64))
+
+
+def unpacked(group: pa.Table) -> pa.Table:
+    """doc, row, starts from the flags of one bucket of documents, a row for each text."""
+    s = np.unique(np.frombuffer(b"".join(group.column("flags").to_pylist()), FLAG))
     cut = np.flatnonzero(np.append(True, (s["doc"][1:] != s["doc"][:-1]) | (s["row"][1:] != s["row"][:-1]))) if len(s) else np.zeros(0, int)
-    starts = [x.tobytes() for x in np.split(np.ascontiguousarray(s["start"]), cut[1:])] if len(s) else []
-    return pa.RecordBatch.from_arrays([pa.array(s["doc"][cut]), pa.array(s["row"][cut].astype(np.int64)), pa.array(starts, pa.binary())], ["doc", "row", "starts"])
+    starts = [np.ascontiguousarray(x["start"]).tobytes() for x in np.split(s, cut[1:])] if len(s) else []
+    return pa.table({"doc": pa.array(s["doc"][cut]), "row": pa.array(s["row"][cut].astype(np.int64)), "starts": pa.array(starts, pa.binary())})
 
 
-def suffix_groups(texts: DataFrame, partitions: int) -> DataFrame:
-    """From doc, row, text, held (anchors that repeat) and wide (those that need long prefixes): partition, suffixes, and what is settled in the batch."""
+def suffix_groups(texts: DataFrame, partitions: int, buckets: int) -> DataFrame:
+    """From doc, row, text, sha, held (anchors that repeat) and wide (those that need long prefixes): partition, suffixes, and the flags settled in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = WordHashes()
@@ -154,28 +172,27 @@ def suffix_groups(texts: DataFrame, partitions: int) -> DataFrame:
                 order = np.lexsort((s["start"], s["doc"], s["second"], s["first"]))
                 key = key[order]
                 s, later = earliest(s)
-                done = flags(s[later])
+                bucket, done = flags(s[later], buckets)
                 s, key = s[~later], key[~later]
-                group = ((key >> np.uint64(11)) % np.uint64(partitions)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                group, s = group[order], s[order]
-                cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(s) else np.zeros(0, int)
-                packed = [x.tobytes() for x in np.split(s, cut[1:])] if len(s) else []
-                n, m = len(packed), done.num_rows
+                group, suffixes = packed(s, ((key >> np.uint64(11)) % np.uint64(partitions)).astype(np.int64))
+                n, m = len(group), len(bucket)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([group[cut], np.arange(m) % partitions])), pa.array([*packed, *[None] * m], pa.binary()), *(pa.concat_arrays([pa.nulls(n, c.type), c]) for c in done.columns)],
-                    ["partition", "suffixes", "doc", "row", "starts"],
+                    [pa.array(np.concatenate([group, bucket % partitions])), pa.array([*suffixes, *[None] * m], pa.binary()), pa.array([*[None] * n, *bucket.tolist()], pa.int64()), pa.array([*[None] * n, *done], pa.binary())],
+                    ["partition", "suffixes", "bucket", "flags"],
                 )
 
-    return texts.mapInArrow(run, "partition long, suffixes binary, doc long, row long, starts binary")
+    return texts.mapInArrow(run, "partition long, suffixes binary, bucket long, flags binary")
+
 
+def subtrees(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The windows to remove of one partition."""
+        settled = group.filter(group.column("suffixes").is_null()).select(["bucket", "flags"])
+        s, later = earliest(np.frombuffer(b"".join(x for x in group.column("suffixes").to_pylist() if x), SUFFIX))
+        bucket, done = flags(s[later], buckets)
+        return pa.table({"bucket": pa.array([*settled.column("bucket").to_pylist(), *bucket.tolist()], pa.int64()), "flags": pa.array([*settled.column("flags").to_pylist(), *done], pa.binary())})
 
-def subtree(group: pa.Table) -> pa.Table:
-    """The windows to remove of one partition."""
-    settled = group.filter(group.column("suffixes").is_null()).select(["doc", "row", "starts"])
-    packed = [x for x in group.column("suffixes").to_pylist() if x]
-    s, later = earliest(np.frombuffer(b"".join(packed), SUFFIX))
-    return pa.concat_tables([settled.combine_chunks(), pa.Table.from_batches([flags(s[later])])])
+    return run
 
 
 def removed(documents: DataFrame) -> DataFrame:
@@ -191,7 +208,7 @@ def removed(documents: DataFrame) -> DataFrame:
     repeated = written(held.join(times, "anchor").groupBy("doc", "sha").agg(F.collect_list("anchor").alias("held"), F.collect_list(wide).alias("wide")), "anchors")
     # About one anchor in eight words, so about eight suffixes for an anchor.
     size = repeated.agg(F.sum(F.size("held")).alias("n")).first()["n"] or 0
-    partitions = max(parts(spark), size * 8 * SUFFIX.itemsize // GROUP_BYTES + 1)
+    partitions, buckets = (max(parts(spark), size * 8 * kind.itemsize // GROUP_BYTES + 1) for kind in (SUFFIX, FLAG))
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
 
@@ -203,8 +220,9 @@ def removed(documents: DataFrame) -> DataFrame:
 
     row = F.conv(F.substring("sha", 1, 8), 16, 10).cast("long").alias("row")
     candidates = texts_with(repeated).select("doc", row, "text", "sha", "held", "wide")
-    found = suffix_groups(candidates, partitions).repartition(partitions, "partition").groupBy("partition").applyInArrow(subtree, "doc long, row long, starts binary")
-    marks = written(found.groupBy("doc", "row").agg(F.collect_list("starts").alias("starts")).join(repeated.select("doc", "sha", row), ["doc", "row"]), "marks")
+    found = suffix_groups(candidates, partitions, buckets).repartition(partitions, "partition").groupBy("partition").applyInArrow(subtrees(buckets), "bucket long, flags binary")
+    marked = found.groupBy("bucket").applyInArrow(unpacked, "doc long, row long, starts binary")
+    marks = written(marked.join(repeated.select("doc", "sha", row), ["doc", "row"]), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -213,7 +231,7 @@ def removed(documents: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() == sha:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(np.frombuffer(b"".join(starts), "<i4"))
+                    at = np.frombuffer(starts, "<i4")
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + WINDOW, -1)
                     gone = np.cumsum(edge)[:-1] > 0
