@@ -7,6 +7,12 @@ shared priority queue, always opening the branch whose splitting planes it lies
 the leaves opened hold ``SEARCH`` rows by the sample's estimate. Candidates from all leaves are
 reranked by exact Euclidean distance in double precision.
 
+That count only sets a bound: no neighbour lies further than the farthest of the best candidates.
+One coarse tree then files every vector in blocks of about ``BLOCK`` rows, and a query is compared
+with every block that no splitting plane keeps beyond its bound. So the result is exact at any size
+of table. The work follows the blocks within the bounds: on vectors without structure these are
+nearly all, rows times queries.
+
 Equal vectors are one class, filed once with its smallest ids, so copies multiply nothing: of a
 class, only the k + 1 smallest ids can be among k neighbours.
 
@@ -22,12 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
 TREES, LEAF, SEARCH, SAMPLE, DIRECTIONS = 16, 64, 24_000, 40_000, 8
+#: Rows of a block, queries compared with a block by one task, and at once.
+BLOCK, SLICE, STRIP = 8_192, 16_384, 128
+#: Share by which bounds are widened, far above rounding errors of double precision.
+SLACK = 1e-9
 
 
 class Tree:
@@ -74,6 +85,21 @@ class Tree:
             at[inner] = self.children[node, right.astype(int)]
         return -at - 1
 
+    def within(self, queries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which leaves (columns) may hold rows within its bound of each query; a row beyond a plane is as far as the plane at least."""
+        sides = queries @ self.normals.T - self.offsets
+        inner, leaves = np.zeros(sides.shape), np.zeros((len(queries), len(self.sizes)))
+        for node, children in enumerate(self.children):
+            side = sides[:, node]
+            for child, beyond in zip(children, (side >= 0, side < 0), strict=True):
+                least = np.where(beyond, np.maximum(inner[:, node], np.abs(side)), inner[:, node])
+                if child >= 0:
+                    inner[:, child] = least
+                else:
+                    leaves[:, -child - 1] = least
+        wide = bounds * (1 + SLACK) + SLACK * np.linalg.norm(queries, axis=1)
+        return ~(leaves > wide[:, None])
+
 
 def search(forest: list[Tree], query: np.ndarray, rows: float) -> list[tuple[int, int]]:
     """(tree, leaf) in the order of one queue over all trees, until they hold rows sample rows."""
@@ -98,6 +124,25 @@ def grown(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF)
     return [Tree(sample, max(2, round(leaf * share)), 100 + k) for k in range(trees)]
 
 
+def closest(queries: np.ndarray, bounds: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k rows nearest to each query, by distance and id, among those within its bound."""
+    squares, out = (rows * rows).sum(1), []
+    for start in range(0, len(queries), STRIP):
+        q, bound = queries[start : start + STRIP], bounds[start : start + STRIP, None]
+        both = (q * q).sum(1)[:, None] + squares
+        # Products find the rows that may lie within; their distances are then taken as everywhere else.
+        at, row = np.nonzero(~(both - 2 * (q @ rows.T) > bound * bound * (1 + SLACK) + SLACK * both))
+        score = np.zeros(len(at))
+        for a, b in zip(q.T, rows.T, strict=True):
+            score += (a[at] - b[row]) * (a[at] - b[row])
+        score = np.sqrt(score)
+        order = np.lexsort((ids[row], score, at))
+        at, row, score = at[order], row[order], score[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append((at[keep] + start, row[keep], score[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def classes_of(vectors: DataFrame, ids: int) -> tuple[DataFrame, DataFrame]:
     """class_id, vector (doubles) and the smallest ids of each distinct valid vector; and the valid rows."""
     v = F.col("embedding").cast("array<double>")
@@ -110,12 +155,13 @@ def classes_of(vectors: DataFrame, ids: int) -> tuple[DataFrame, DataFrame]:
     return first.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("class_id"), "vector", "ids"), valid
 
 
-def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    return np.array(batch.column(column).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+def _matrix(batch: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    flat = pc.list_flatten(batch.column(column))
+    return np.array(flat.to_numpy() if isinstance(flat, pa.ChunkedArray) else flat.to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
 
 
 def neighbours(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, leaf: int = LEAF, find: int = SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for every row that is_query holds for."""
+    """query_id, rank, vec_id, score of the k nearest of every row that is_query holds for."""
     spark = vectors.sparkSession
     small_batches(spark)
     classes, valid = classes_of(vectors, k + 1)
@@ -125,6 +171,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, le
     points = np.array([r["vector"] for r in sorted(sample, key=lambda r: r["class_id"])], float).reshape(len(sample), -1 if sample else 1)
     forest = spark.sparkContext.broadcast(grown(points, total, trees, leaf) if total else [])
     rows = find * len(points) / max(total, 1)
+    coarse = spark.sparkContext.broadcast(grown(points, total, 1, BLOCK) if total else [])
 
     def file(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -148,7 +195,35 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, le
     best = Window.partitionBy("query_class").orderBy("score", "class_id")
     met = sought.join(filed, ["tree", "leaf"]).select("query_class", "class_id", score.alias("score"))
     near = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= (k + 1) * trees).select("query_class", "class_id", "score").distinct()
-    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).join(classes.select("class_id", "ids"), "class_id")
+    bounds = near.withColumn("n", F.row_number().over(best)).where(F.col("n") == k + 1).select("query_class", F.col("score").alias("bound"))
+    bounds = query_classes.select(F.col("class_id").alias("query_class"), F.col("vector").alias("q")).join(bounds, "query_class", "left")
+    bounds = written(bounds.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "bounds")
+    slices = max(1, -(-bounds.count() // SLICE))
+
+    def block(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coarse.value[0].leaves(_matrix(batch, "vector")), pa.int64())], ["class_id", "vector", "block"])
+
+    def reach(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for start in range(0, batch.num_rows, STRIP):
+                part = batch.slice(start, STRIP)
+                inside = coarse.value[0].within(_matrix(part, "q"), part.column("bound").to_numpy())
+                for i, blocks in enumerate(map(np.flatnonzero, inside)):
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(np.full(len(blocks), i), pa.int64())) for c in part.columns), pa.array(blocks, pa.int64())], ["query_class", "q", "bound", "block"])
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return pa.table({"query_class": pa.array([], pa.int64()), "class_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids = held.column("class_id").to_numpy()
+        at, row, score = closest(_matrix(asked, "q"), asked.column("bound").to_numpy(), _matrix(held, "vector"), ids, k + 1)
+        return pa.table({"query_class": asked.column("query_class").to_numpy()[at], "class_id": ids[row], "score": score})
+
+    blocks = classes.select("class_id", "vector").mapInArrow(block, "class_id long, vector array<double>, block long").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    reached = bounds.mapInArrow(reach, "query_class long, q array<double>, bound double, block long").withColumn("slice", F.pmod(F.xxhash64("query_class"), F.lit(slices)).cast("int"))
+    exact = reached.groupBy("block", "slice").cogroup(blocks.groupBy("block", "slice")).applyInArrow(compare, "query_class long, class_id long, score double")
+    near = exact.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).join(classes.select("class_id", "ids"), "class_id")
     each = asking.join(near, "query_class").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -192,6 +192,36 @@ def test_neighbour_recall(spark, sf_dir):
     assert hit / (10 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize(("n", "find"), [(400, 24_000), (3000, 100), (20_000, 100)])
+def test_neighbours_are_exact_at_any_size(spark, n, find):
+    """Nearly random vectors, with search effort from the whole table down to a two-hundredth of it."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32)).astype(np.float32) + 2 * rng.normal(size=(7, 32)).astype(np.float32)[rng.integers(0, 7, n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, find=find).collect()}
+    assert len(got) == 10 * len(range(0, n, 100))
+    x = x.astype(float)
+    for q in range(0, n, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(n), d))[:10]
+        assert [got[q, k + 1][0] for k in range(10)] == want.tolist()
+        assert np.allclose([got[q, k + 1][1] for k in range(10)], d[want], atol=1e-12)
+
+
+def test_blocks_beyond_a_bound_are_left_out():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 8)) + 20 * rng.normal(size=(8, 8))[rng.integers(0, 8, 4000)]
+    tree = ann.Tree(x, 100, 1)
+    bounds = np.sort(np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2)), axis=1)[:, 10]
+    inside, leaf = tree.within(x[:50], bounds), tree.leaves(x)
+    for i in range(50):
+        assert inside[i][leaf[np.sqrt(((x - x[i]) ** 2).sum(1)) <= bounds[i]]].all()
+    assert inside.mean() < 0.5
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, sf_dir, name):
     assert_same(queries.queries()[name](spark, sf_dir), database(sf_dir), queries.oracle_sql()[name])
