@@ -4,7 +4,9 @@ Templates are short licence notices and phrases. The index holds, for every temp
 postings (template, position). The document frequencies of template words are counted over the
 whole table, so that the rarest are known. A text's template words are looked up; its ``ANCHORS``
 rarest (highest IDF) distinct ones vote: every place of an anchor in the text and every posting of
-it give an alignment (template, start = place - position). Of an alignment, the words of the
+it give an alignment (template, start = place - position). So do those rarest words of each template
+without which the rest of it weighs less than ``COVER``: no match stands without one of them, so the
+number of anchors loses none. Of an alignment, the words of the
 template that stand at their relative places are counted by intersecting postings; it is a match
 if they weigh (by IDF) at least ``COVER`` of the template and a mandatory key phrase stands in the
 aligned stretch. Base phrases are templates that must match whole; all their places count, and
@@ -73,6 +75,17 @@ class Index:
         self.idf = {w: math.log((texts + 1) / (frequency.get(w, 0) + 1)) + 0.1 for w in self.postings}
         self.weight = [sum(self.idf[w] for w in words) for _, words, _, _ in self.entries]
         self.rarest = [max(range(len(words)), key=lambda i, ws=words: self.idf[ws[i]]) for _, words, _, _ in self.entries]
+        self.needed = [self._needed(words, weight) for (_, words, _, _), weight in zip(self.entries, self.weight, strict=True)]
+
+    def _needed(self, words: list[str], weight: float) -> set[str]:
+        """The rarest words of a template that weigh more than a match may lack."""
+        found, rest = set(), weight
+        for w in sorted(set(words), key=lambda w: (-self.idf[w], w)):
+            if rest < (COVER - 1e-9) * weight:
+                break
+            found.add(w)
+            rest -= self.idf[w] * words.count(w)
+        return found
 
     def scan(self, words: list[str]) -> tuple[list[int], list[str], list[str], float]:
         """(starts of base phrases, base labels, labels, score) of the words of a text."""
@@ -96,7 +109,7 @@ class Index:
                     labels.add(label)
                     best = 1.0
                 continue
-            votes = {p - i for i, w in enumerate(phrase) if w in anchors for p in places[w]}
+            votes = {p - i for i, w in enumerate(phrase) if (w in anchors or w in self.needed[t]) and w in vocabulary for p in places[w]}
             # Only aligned words can reach the cover, so a template needs most of its words somewhere.
             if not votes or sum(self.idf[w] for w in phrase if w in vocabulary) < COVER * self.weight[t]:
                 continue

@@ -137,6 +137,32 @@ def test_licence_template_needs_its_key_phrase():
     assert "mit" not in index.scan("released under the mit agreement".split())[2]
 
 
+def test_licence_short_notices_stand_beside_long_ones():
+    """Common words of a short notice vote, however many rarer template words the text holds."""
+    short = "released under the mit license"
+    frequency = {w: 1000 for w in [*short.split(), "licensed", "apache", "bsd"]}
+    index = licenses.Index(frequency=frequency, texts=1000)
+    long = [phrase for label, phrase, _ in licenses.TEMPLATES if label in ("isc", "cc0", "mpl-2.0") or phrase.startswith("permission is")]
+    text = " x ".join([*long, short, "licensed under the apache license", "released under the bsd license"]).split()
+    assert len(index.postings.keys() & set(text)) > licenses.ANCHORS + 10
+    one = licenses.Index(((label, phrase, keys) for label, phrase, keys in licenses.TEMPLATES if phrase == short), {}, frequency, 1000)
+    assert one.scan(text)[2:] == (["mit"], 1.0)
+    assert {"apache", "bsd", "cc0", "isc", "mit", "mpl-2.0"} <= set(index.scan(text)[2])
+    rng = random.Random(8)
+    for k in range(60):
+        index = licenses.Index(frequency={w: rng.randint(0, 1000) for w in sorted(index.postings)}, texts=1000)
+        words = [w for label, phrase, _ in rng.choices(licenses.TEMPLATES, k=8) for w in phrase.split() if rng.random() > 0.04]
+        want = set()
+        for t, (label, phrase, keys, whole) in enumerate(index.entries):
+            for s in range(-len(phrase), len(words)):
+                there = lambda i, w: 0 <= i < len(words) and words[i] == w
+                cover = sum(index.idf[w] for i, w in enumerate(phrase) if there(s + i, w)) / index.weight[t]
+                keyed = any(all(there(p + i, w) for i, w in enumerate(key)) for key in keys for p in range(s, s + len(phrase) - len(key) + 1))
+                if (cover >= licenses.COVER and not whole or cover > 1 - 1e-9) and keyed:
+                    want.add(label)
+        assert set(index.scan(words)[2]) == want, k
+
+
 def test_quality_against_plain_rules(documents, empty, no_labels):
     rows = by_id(quality.judged(documents, no_labels))
     for i, t in enumerate(TEXTS):
