@@ -6,7 +6,7 @@ Parquet into the shared folder and read again, so a lost executor costs a stage
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelake.llm import mixing, neardup, packing, secrets, toxicity
@@ -35,13 +35,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, and one row of rows that share an id."""
+    """Keeps the smallest id of each group of near-duplicates, and of rows that share an id the first by the text's hash; a null id is shared by none."""
     groups = neardup.near_duplicates(docs)
     dropped = written(groups.where("NOT kept").select("doc_id").distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else kept
+    repeated = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    ids = repeated.count()
+    if not ids:
+        return kept
+    repeated = F.broadcast(repeated) if ids <= BROADCAST_IDS else repeated
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", F.to_json(F.struct(*docs.columns)))
+    first = kept.join(repeated, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(first.drop("__nth")).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,3 +244,17 @@ def test_pipeline(spark, sf_dir):
     total = out.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in total) <= packing.LENGTH
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_keeps_null_ids_beside_repeated_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    text = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=80))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (None, None), (4, text(4)), (5, text(5)), (5, text(6)), (5, text(6)), (6, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    outs = [corpus_pipeline.near_duplicates_stage(spark, docs.repartition(n, "text"), sf_dir) for n in (1, 7)]
+    assert outs[0].columns == docs.columns
+    first, second = (sorted(map(str, out.collect())) for out in outs)
+    assert first == second
+    ids = [r["doc_id"] for r in outs[0].collect()]
+    assert ids.count(None) == 4 and sorted(i for i in ids if i is not None) == [4, 5, 6]
