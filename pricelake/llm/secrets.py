@@ -5,8 +5,9 @@ token-efficiency test looks at every other unbroken run of letters, digits and `
 byte-pair vocabulary, words and names need few tokens, while random strings need one for every two
 or three characters. Runs of at least ``MIN_CHARS`` characters with at most ``MAX_RATIO``
 characters a token are spans of the kind ``random``, except known digests (hexadecimal of the usual
-lengths), UUIDs, words joined by ``_ - / .``, plain letters, plain numbers and parts of web or
-mail addresses.
+lengths), UUIDs, plain numbers and words joined by ``_ - / + =``. Where a run as a whole passes, its
+pieces between these signs are tested in the same way, so a path or a name before a secret hides
+nothing. Parts of web and mail addresses are runs like all others.
 
 Defined cases: a null or blank text has no spans; repeated rows each give a row; spans count code
 points, ends exclusive.
@@ -39,7 +40,8 @@ _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % MIN_CHARS)
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
-_ADDRESS = re.compile(r"(?:://|www\.|@)\S*\Z")
+_PART, _PIECE = re.compile(r"[^/=]+"), re.compile(r"[^_/=+-]+")
+_WORD = re.compile(r"[A-Z]?[a-z]*|[A-Z]*|[0-9]*")
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -52,12 +54,32 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
-def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, numbers, letters only, and words (a case hump, letters or digits) joined by separators."""
-    if _DIGEST.match(run) or _UUID.match(run) or run.isalpha() or not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run):
-        return True
-    pieces = re.split(r"[_/=+-]+", run)
-    return len(pieces) > 1 and all(re.fullmatch(r"[A-Z]?[a-z]*|[A-Z]*|[0-9]*", p) for p in pieces)
+def is_known(run: str) -> bool:
+    """Digests, UUIDs and numbers."""
+    return bool(_DIGEST.match(run) or _UUID.match(run)) or not any(c.isalpha() for c in run)
+
+
+def inefficient(run: str, tokens: tiktoken.Encoding) -> bool:
+    return len(run) <= MAX_RATIO * len(tokens.encode_ordinary(run))
+
+
+def random_parts(run: str, tokens: tiktoken.Encoding) -> Iterator[tuple[int, int]]:
+    """Start and end of what is random in a run: all of it, or long pieces of it."""
+    if len(run) < MIN_CHARS or is_known(run):
+        return
+    parts = list(_PART.finditer(run))
+    if len(parts) > 1 and any(len(p[0]) >= MIN_CHARS and is_known(p[0]) for p in parts):
+        for p in parts:
+            yield from ((p.start() + s, p.start() + e) for s, e in random_parts(p[0], tokens))
+        return
+    pieces = list(_PIECE.finditer(run))
+    words = len(pieces) > 1 and all(_WORD.fullmatch(p[0]) for p in pieces)
+    if not words and inefficient(run, tokens):
+        yield 0, len(run)
+        return
+    for p in pieces:
+        if MIN_CHARS <= len(p[0]) < len(run) and not is_known(p[0]) and inefficient(p[0], tokens):
+            yield p.span()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,13 +98,9 @@ def random_spans(text: str, tokens: tiktoken.Encoding, taken: list[tuple[int, in
     """Runs that need many tokens and that no other span touches."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if is_identifier(run) or any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if _ADDRESS.search(text, max(0, m.start() - 200), m.start()):
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
             continue
-        if len(run) <= MAX_RATIO * len(tokens.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        found += [(m.start() + s, 3, m.start() + e) for s, e in random_parts(m[0], tokens)]
     return found
 
 

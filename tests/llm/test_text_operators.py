@@ -214,6 +214,24 @@ def test_secrets_by_token_efficiency(spark):
     assert df.select(secrets.redacted().alias("x")).first()["x"] == "a [SECRET]' b"
 
 
+def test_secrets_in_addresses_and_of_letters_only():
+    tokens = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    found = lambda t: [t[s:e] for s, k, e in secrets.spans_of(t, tokens)[1] if k == 3]
+    key, letters = "q7Xk2Zp9LmN4vB8sTr1Yw6Ud", "qXkZpLmNvBsTrYwUdHjQc"
+    assert found(f"postgres://user:{key}@host/db") == [key]
+    assert found(f'{{"mail":"joe@example.com","value":"{key}"}}') == [key]
+    assert key in found(f"https://example.com/a?sig={key}&n=1")[0]
+    assert key in found(f"https://example.com/products/customer/information/international/department/{key}")[0]
+    for pad in (10, 190, 210, 400):
+        assert key in found(f"https://example.com/{'?' * pad}{key}")[0]
+    assert found(f"the value is {letters} there") == [letters]
+    assert found(f"some_variable_name_{letters}")[0].endswith(letters)
+    assert found("internationalization AbstractSingletonProxyFactoryBean some_variable_name_international 1234567890123456") == []
+    assert found("https://example.com/products/information/internationalization and joe@example.com") == []
+    assert found("https://example.com/file/550e8400-e29b-41d4-a716-446655440000 D41D8CD98F00B204E9800998ECF8427E") == []
+    assert found("file/550E8400-E29B-41D4-A716-446655440000") == []
+
+
 def test_packing(spark, documents, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     rows = packing.packed(documents).collect()
