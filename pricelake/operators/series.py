@@ -6,10 +6,15 @@ in time order, ties included. Each operator shuffles once on its key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelake.functions.columns import in_stock, rounded, watch_status
+from pricelake.functions.running import Past
 
 
 def by(keys, order=None):
@@ -40,27 +45,31 @@ def movement(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
     return df.withColumn("movement", F.when(before != 0, rounded((F.col(value) - before) / before * 100, 1)))
 
 
-def _middle(a: Column) -> Column:
-    n = F.size(a)
-    low, high = F.floor((n + 1) / 2).cast("int"), F.ceil((n + 1) / 2).cast("int")
-    return F.when(n > 0, (F.element_at(a, F.greatest(low, F.lit(1))) + F.element_at(a, F.greatest(high, F.lit(1)))) / 2)
-
-
 def outliers(df: DataFrame, value: str, key, order: list[str], z: Column | float = 6.0, least: Column | int = 6, history: int | None = None) -> DataFrame:
     """WIN-6: flags values far from the median of strictly earlier ones, in units of 1.4826 times their median deviation.
 
-    A flat history allows half of its level. Fewer than ``least`` earlier values flag nothing.
-    ``history`` bounds how many earlier values count; without it, all do.
+    A flat history allows half of its level. Fewer than ``least`` earlier values flag nothing; null
+    values are neither flagged nor counted. Rows stream through in the order of their series, sorted
+    by Spark, so a task holds the values of one series once. ``history`` bounds how many earlier
+    values count, and with them what a task holds; without it, all do.
     """
-    frame = by(key, order).rowsBetween(Window.unboundedPreceding if history is None else -history, -1)
-    past = F.sort_array(F.collect_list(value).over(frame))
-    with_past = df.withColumn("__past", past).withColumn("__median", _middle(F.col("__past")))
-    spread = _middle(F.sort_array(F.transform("__past", lambda x: F.abs(x - F.col("__median")))))
+    keys = [key] if isinstance(key, str) else list(key)
     z, least = (x if isinstance(x, Column) else F.lit(x) for x in (z, least))
-    gap = F.abs(F.col(value) - F.col("__median"))
-    far = F.when(F.col("__spread") > 0, gap / (F.col("__spread") * 1.4826) > z).otherwise(gap > F.greatest(F.lit(1e-9), F.abs("__median") * 0.5))
-    flagged = with_past.withColumn("__spread", spread).withColumn("outlier", F.coalesce((F.size("__past") >= least) & far, F.lit(False)))
-    return flagged.drop("__past", "__median", "__spread")
+    rows = df.select(*df.columns, F.struct(*keys).alias("__key"), F.col(value).cast("double").alias("__value"), z.cast("double").alias("__z"), least.cast("int").alias("__least"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        last, past = None, Past(history)
+        for batch in batches:
+            flags = []
+            for k, v, far, n in zip(*(batch.column(c).to_pylist() for c in ("__key", "__value", "__z", "__least")), strict=True):
+                if k != last:
+                    last, past = k, Past(history)
+                flags.append(v is not None and past.outlier(v, far, n))
+                if v is not None:
+                    past.add(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(flags, pa.bool_())], [*batch.schema.names[:-4], "outlier"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType(df.schema.fields).add("outlier", "boolean"))
 
 
 def scaled(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
@@ -110,13 +119,17 @@ def price_insights(df: DataFrame, value: str, key, order: list[str]) -> DataFram
 
 
 def deal_scores(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
-    """AGG-3: 0 to 100 from the place between high and low and the share of values at or above the current one."""
+    """AGG-3: 0 to 100 from the place between high and low and the share of values at or above the current one.
+
+    Two aggregations with partial sums; the first one's row per key meets the values again.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.collect_list(value).alias("values"), F.max_by(value, F.struct(*order)).alias("current"), F.min(value).alias("low"), F.max(value).alias("high"))
-    at_least = F.size(F.filter("values", lambda v: v >= F.col("current"))) / F.size("values")
+    known = df.where(F.col(value).isNotNull()).select(*keys, *(c for c in order if c not in keys), F.col(value).alias("__value"))
+    facts = known.groupBy(*keys).agg(F.max_by("__value", F.struct(*order)).alias("current"), F.min("__value").alias("low"), F.max("__value").alias("high"))
+    counted = known.select(*keys, "__value").join(facts, keys).groupBy(*keys, "current", "low", "high").agg(F.count("*").alias("n"), F.count_if(F.col("__value") >= F.col("current")).alias("at_least"))
     place = (F.col("high") - F.col("current")) / (F.col("high") - F.col("low"))
-    score = F.floor(100 * (0.6 * place + 0.4 * at_least) + 0.5).cast("int")
-    return g.select(*keys, F.when((F.size("values") < 2) | (F.col("high") <= F.col("low")), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("deal_score"))
+    score = F.floor(100 * (0.6 * place + 0.4 * (F.col("at_least") / F.col("n"))) + 0.5).cast("int")
+    return counted.select(*keys, F.when((F.col("n") < 2) | (F.col("high") <= F.col("low")), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("deal_score"))
 
 
 def availability_stats(df: DataFrame, text: str, key, order: list[str]) -> DataFrame:

@@ -16,7 +16,11 @@ from .series_queries import OUTLIER_SQL
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,13 +48,23 @@ def str_2(spark, d):
     return _run(R.guard_stream(s, 100_000), "guard")
 
 
-@query("str_3_throttle_stream")
+@query(
+    "str_3_throttle_stream",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS dedup_key, CAST(event_id AS BIGINT) AS alert_id, CAST(ts AS TIMESTAMP) AS created_at FROM events),
+    s AS (SELECT dedup_key, min({'t': created_at, 'n': alert_id}) AS x FROM e GROUP BY dedup_key
+        UNION ALL SELECT s.dedup_key, (SELECT min({'t': e.created_at, 'n': e.alert_id}) FROM e WHERE e.dedup_key = s.dedup_key AND e.created_at >= s.x.t + INTERVAL 1440 MINUTE) FROM s WHERE s.x IS NOT NULL)
+    SELECT dedup_key, x.n AS alert_id, x.t AS created_at FROM s WHERE x IS NOT NULL""",
+)
 def str_3(spark, d):
     s = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("dedup_key"), F.col("event_id").cast("long").alias("alert_id"), F.col("ts").cast("timestamp").alias("created_at"))
     return _run(R.throttle_stream(s, 1440), "throttle")
 
 
-@query("str_4_digest_stream")
+@query(
+    "str_4_digest_stream",
+    """WITH e AS (SELECT user_id AS site_id, time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS start FROM events)
+    SELECT site_id, start, count(*) AS changes FROM e WHERE start + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM events) GROUP BY site_id, start""",
+)
 def str_4(spark, d):
     """Windows that the watermark has closed; the last ones stay open."""
     s = _stream(spark, d, "events").select(F.col("user_id").alias("site_id"), F.col("ts").cast("timestamp").alias("changed_at"))

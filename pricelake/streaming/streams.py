@@ -1,4 +1,8 @@
-"""Continuous forms of change detection, the anomaly guard, the throttle, the digest and the price history."""
+"""Continuous forms of change detection, the anomaly guard, the throttle, the digest and the price history.
+
+The stateful operators put one key's rows of one micro-batch in order in memory; the size of a
+micro-batch (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds that.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pricelake.functions.running import Past
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE = "site_id long, item_id long, seen_at timestamp, old_price double, new_price double"
 
@@ -44,23 +50,20 @@ class Guard(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.past = handle.getListState("past", "price double")
 
-    def flagged(self, past: list[float], price: float) -> bool:
-        if len(past) < self.least:
-            return False
-        history = pd.Series(past)
-        middle = history.median()
-        spread = (history - middle).abs().median()
-        gap = abs(price - middle)
-        return bool(gap / (1.4826 * spread) > self.z) if spread > 0 else bool(gap > max(1e-9, 0.5 * abs(middle)))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        past = [p[0] for p in self.past.get()]
+        stored = [p[0] for p in self.past.get()]
+        past = Past(self.keep, stored[-self.keep :])
         batch = pd.concat(list(rows)).sort_values(["fetched_at", "run_id"])
-        flags = []
-        for price in batch["price"]:
-            flags.append(self.flagged(past, float(price)))
-            past = [*past, float(price)][-self.keep :]
-        self.past.put([(p,) for p in past])
+        flags, new = [], []
+        for price in batch["price"].astype(float):
+            flags.append(past.outlier(price, self.z, self.least))
+            past.add(price)
+            new.append((price,))
+        # New prices are appended; the state is written anew only when half of it has expired.
+        if len(stored) + len(new) <= 2 * self.keep:
+            self.past.appendList(new)
+        else:
+            self.past.put([(p,) for p in past.arrived])
         yield pd.DataFrame({"site_id": batch["site_id"], "run_id": batch["run_id"], "outlier": flags})
 
     def close(self) -> None:

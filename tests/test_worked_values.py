@@ -115,3 +115,22 @@ def test_blocked_and_detected(spark):
     assert one(spark, C.blocked(F.lit(200), F.lit("<p>Just a moment</p>"))) == "anti-bot challenge"
     assert one(spark, X.detected_schema(F.lit("https://x.test/jobs/1"), F.lit("<p></p>"))) == "jobs"
     assert one(spark, X.detected_schema(F.lit("https://x.test/a"), F.lit('<meta property="og:type" content="article">'))) == "news"
+
+
+def test_running_medians():
+    import random
+    import statistics
+
+    from pricelake.functions.running import Past
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        keep = rng.choice([None, 1, 2, 5, 9])
+        past, values = Past(keep), []
+        for _ in range(40):
+            values.append(rng.choice([rng.random(), float(rng.randint(0, 4))]))
+            past.add(values[-1])
+            last = values[-keep:] if keep else values
+            middle = statistics.median(last)
+            assert past.sorted == sorted(last) and abs(past.median() - middle) < 1e-12
+            assert abs(past.deviation(past.median()) - statistics.median(abs(v - past.median()) for v in last)) < 1e-12
