@@ -71,6 +71,7 @@ def rule_action(rules: list[dict], default: str = "ignore") -> Column:
 
     def matches(when: str, amount: float | None) -> Column:
         limit = F.lit(amount).cast("double")
+        # The names of the rules.
         tests = {
             ("any", "any_change"): F.lit(True),
             ("new_item",): F.col("field") == "_new_item",
@@ -111,19 +112,29 @@ def alert_log(changes: DataFrame, message: Column, sinks: Column, at: Column, si
     return changes.select(site, item, "field", message.alias("message"), F.concat_ws(",", sinks).alias("sinks"), dedup_key(F.col(site), F.col("field"), F.col(item)).alias("dedup_key"), at.alias("created_at"))
 
 
-def monitoring_batch(old: DataFrame, new: DataFrame, watches: DataFrame, flags: DataFrame, alerts: DataFrame, now: Column, minutes: int = 60, least_drop: float = 0.0, rules: list[dict] | None = None) -> DataFrame:
-    """CHG-8: the alerts of one batch over all sites: diff, plausible, quarantine, trigger or rules, throttle, minimum drop.
+def appended(rows: DataFrame, path: str, at: str) -> None:
+    """SRC-1, SRC-3, SRC-4: rows appended to a table in a folder for each day of a time column; without rows nothing is written."""
+    if rows.limit(1).count():
+        rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
 
-    Snapshots hold site_id, item_key, price, availability, arrival; watches hold id, alert_trigger, target_price.
+
+def monitoring_batch(old: DataFrame, new: DataFrame, watches: DataFrame, flags: DataFrame, alerts: DataFrame, now: Column, minutes: int = 60, least_drop: float = 0.0, rules: list[dict] | None = None, confidence: Column | None = None, least_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """CHG-8: (what to append to the change log, what to alert on) of one batch over all sites.
+
+    In order: diff, plausible, confidence, quarantine; of what is logged then: trigger or rules,
+    throttle, minimum drop. Snapshots hold site_id, item_key, price, availability, arrival; watches
+    hold id, alert_trigger, target_price; confidence maps fields to a share.
     """
     key = ["site_id", "item_key"]
     changes = plausible(diff(old, new, key, ["price", "availability"], ["arrival"], "item_key"))
-    changes, _ = quarantined(changes, flags, key)
+    if confidence is not None:
+        changes = confident(changes, confidence, least_confidence)
+    logged, _ = quarantined(changes, flags, key)
     if rules is not None:
-        chosen = changes.where(rule_action(rules) == "alert")
+        chosen = logged.where(rule_action(rules) == "alert")
     else:
-        chosen = changes.join(watches.select(F.col("id").alias("site_id"), "alert_trigger", "target_price"), "site_id").where(triggered(F.col("alert_trigger"), F.col("target_price"))).drop("alert_trigger", "target_price")
-    return large_drops(throttled(chosen, alerts, now, minutes), least_drop)
+        chosen = logged.join(watches.select(F.col("id").alias("site_id"), "alert_trigger", "target_price"), "site_id").where(triggered(F.col("alert_trigger"), F.col("target_price"))).drop("alert_trigger", "target_price")
+    return logged, large_drops(throttled(chosen, alerts, now, minutes), least_drop)
 
 
 def recent_changes(changes: DataFrame, sites: DataFrame, limit: int, site=None, order=("changed_at",)) -> DataFrame:
