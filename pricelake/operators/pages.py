@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelake.functions import columns as C
 from pricelake.functions.columns import missing, rounded
@@ -52,39 +56,63 @@ def emptiness(html: Column) -> Column:
     return F.when(html.isNull(), "thin").when(short & (scripts >= 3), "shell").when(short, "thin")
 
 
-def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def _not_json(name: str):
+    raise ValueError(name)
 
 
-def json_nodes(scripts: DataFrame, keys: list[str], text: str, depth: int = 5) -> DataFrame:
-    """Every object of JSON texts, nested to a fixed depth: keys, place (in document order) and node."""
-    level = scripts.select(*keys, F.lpad(F.col("seq").cast("string"), 4, "0").alias("place"), F.try_parse_json(text).alias("node")).where("node IS NOT NULL")
-    levels = [level]
-    names = ", ".join(f"l.{k}" for k in keys)
-    for _ in range(depth):
-        level = level.sparkSession.sql(f"SELECT {names}, concat(l.place, '/', lpad(CAST(x.pos AS STRING), 6, '0')) AS place, x.value AS node FROM {{level}} AS l, LATERAL variant_explode(l.node) AS x WHERE schema_of_variant(x.value) LIKE 'OBJECT%' OR schema_of_variant(x.value) LIKE 'ARRAY%'", level=level)
-        levels.append(level)
-    return reduce(DataFrame.unionAll, levels).where(_is_object(F.col("node")))
+def _objects(text: str, wanted: frozenset | None) -> Iterator[tuple[str, str]]:
+    """(place, JSON) of every object in a JSON text, in document order and at any depth; nothing for invalid JSON."""
+    try:
+        open_nodes = [("", json.loads(text, parse_constant=_not_json))]
+    except (ValueError, RecursionError):
+        return
+    while open_nodes:
+        place, node = open_nodes.pop()
+        if isinstance(node, dict) and (wanted is None or not wanted.isdisjoint(node)):
+            yield place, json.dumps(node, ensure_ascii=False)
+        children = node.values() if isinstance(node, dict) else node
+        open_nodes += [(f"{place}/{i:06d}", x) for i, x in enumerate(children) if isinstance(x, (dict, list))][::-1]
 
 
-def jsonld_nodes(pages: DataFrame, keys: list[str], depth: int = 5) -> DataFrame:
+def json_nodes(scripts: DataFrame, keys: list[str], text: str, names=None) -> DataFrame:
+    """Every object of JSON texts, however deep: keys, place (in document order) and node.
+
+    Built-in functions open a fixed number of levels only, so a text is parsed and walked once in
+    Python. With names, only objects that have one of these keys are returned.
+    """
+    wanted = None if names is None else frozenset(names)
+    rows = scripts.select(*keys, F.lpad(F.col("seq").cast("string"), 4, "0").alias("__seq"), F.col(text).alias("__text")).where("__text IS NOT NULL")
+    schema = T.StructType([scripts.schema[k] for k in keys]).add("place", "string").add("__json", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for i, (seq, script) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__seq", "__text")), strict=True)):
+                found = [(seq + place, node) for place, node in _objects(script, wanted)]
+                if found:
+                    at = pa.array([i] * len(found))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array(c, pa.string()) for c in zip(*found, strict=True))], schema.names)
+
+    return rows.mapInArrow(run, schema).select(*keys, "place", F.try_parse_json("__json").alias("node")).where("node IS NOT NULL")
+
+
+def jsonld_nodes(pages: DataFrame, keys: list[str], names=None) -> DataFrame:
     """EXT-1: every object in the JSON-LD scripts of a page; invalid JSON is skipped."""
-    return json_nodes(pages.select(*keys, F.posexplode(F.regexp_extract_all("html", F.lit(LD_SCRIPT), 1)).alias("seq", "script")), keys, "script", depth)
+    return json_nodes(pages.select(*keys, F.posexplode(F.regexp_extract_all("html", F.lit(LD_SCRIPT), 1)).alias("seq", "script")), keys, "script", names)
 
 
-def state_nodes(pages: DataFrame, keys: list[str], depth: int = 6) -> DataFrame:
+def state_nodes(pages: DataFrame, keys: list[str], names=None) -> DataFrame:
     """EXT-6: objects of hydration state, in a script of its own or assigned to a known global."""
     next_data = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'), 1)
     assigned = F.regexp_extract_all("html", F.lit(rf"(?is)window\.(?:{'|'.join(STATE_NAMES)})\s*=\s*(\{{.*?\}})\s*;?\s*</script>"), 1)
-    return json_nodes(pages.select(*keys, F.posexplode(F.concat(next_data, assigned)).alias("seq", "script")), keys, "script", depth)
+    return json_nodes(pages.select(*keys, F.posexplode(F.concat(next_data, assigned)).alias("seq", "script")), keys, "script", names)
 
 
-def inline_nodes(pages: DataFrame, keys: list[str], depth: int = 4) -> DataFrame:
+def inline_nodes(pages: DataFrame, keys: list[str], names=None) -> DataFrame:
     """EXT-7: objects in other scripts that mention a price: the whole script, or the first object assigned in it."""
     scripts = pages.select(*keys, F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<script(?![^>]*(?:ld\+json|__NEXT_DATA__))[^>]*>(.*?)</script>'), 1)).alias("seq", "script")).where(F.lower("script").contains("price"))
     first = F.regexp_extract("script", r"(?s)=\s*(\{.*\})", 1)
     text = F.when(F.try_parse_json("script").isNotNull(), F.col("script")).when(F.length(first) >= 40, first)
-    return json_nodes(scripts.withColumn("script", text).where("script IS NOT NULL"), keys, "script", depth)
+    return json_nodes(scripts.withColumn("script", text), keys, "script", names)
 
 
 def _get(node: Column, path: str) -> Column:
@@ -115,28 +143,29 @@ def node_record(node: Column) -> list[Column]:
     return [
         plain["title"].alias("title"), F.coalesce(cents, C.number(offer(KEYS["price"])), C.number(_get(node, "$.offers.priceSpecification.price"))).alias("price"), C.number(offer(KEYS["original_price"])).alias("original_price"),
         offer(("priceCurrency", "currency")).alias("currency"), C.availability_label(offer(("availability",))).alias("availability"), plain["url"].alias("url"), image.alias("image"), brand.alias("brand"), plain["sku"].alias("sku"),
-        plain["gtin"].alias("gtin"), C.number(rating).alias("rating"), C.number(reviews).alias("review_count"),
+        plain["gtin"].alias("gtin"), _get(node, "$.mpn").alias("mpn"), C.number(rating).alias("rating"), C.number(reviews).alias("review_count"),
     ]
 
 
-FIELDS = ("title", "price", "original_price", "currency", "availability", "url", "image", "brand", "sku", "gtin", "rating", "review_count")
+FIELDS = ("title", "price", "original_price", "currency", "availability", "url", "image", "brand", "sku", "gtin", "mpn", "rating", "review_count")
 
 
 def has_type(node: Column, name: str) -> Column:
+    """Whether one of the node's types contains the name, as full addresses and subtypes do."""
     types = F.coalesce(F.try_variant_get(node, "$['@type']", "array<string>"), F.array(F.try_variant_get(node, "$['@type']", "string")))
-    return F.exists(types, lambda t: F.lower(t) == name)
+    return F.exists(types, lambda t: F.contains(F.lower(t), F.lit(name)))
 
 
 def jsonld_record(pages: DataFrame, keys: list[str]) -> DataFrame:
     """EXT-2: one record for each page with a product node or a node with offers; each field from the first node that has it."""
-    nodes = jsonld_nodes(pages, keys).where(has_type(F.col("node"), "product") | F.try_variant_get("node", "$.offers", "variant").isNotNull())
+    nodes = jsonld_nodes(pages, keys, ("@type", "offers")).where(has_type(F.col("node"), "product") | F.try_variant_get("node", "$.offers", "variant").isNotNull())
     records = nodes.select(*keys, "place", *node_record(F.col("node")))
     return records.groupBy(*keys).agg(*(F.min_by(f, F.when(~missing(F.col(f)), F.col("place"))).alias(f) for f in FIELDS))
 
 
 def jsonld_products(pages: DataFrame, keys: list[str]) -> DataFrame:
     """EXT-5, SET-5: a record for each product node with a title and a price or page; equal titles and pages once, the first."""
-    nodes = jsonld_nodes(pages, keys).where(has_type(F.col("node"), "product"))
+    nodes = jsonld_nodes(pages, keys, ("@type",)).where(has_type(F.col("node"), "product"))
     records = nodes.select(*keys, "place", *node_record(F.col("node"))).where("title IS NOT NULL AND (price IS NOT NULL OR url IS NOT NULL)")
     return first_of_equal(records, keys)
 
@@ -148,25 +177,34 @@ def first_of_equal(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def walked_products(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """EXT-6, EXT-7 to records: objects that look like products."""
+    """EXT-6, EXT-7 to records: objects that look like products; nodes may be limited to those with a key of KEYS["title"]."""
     return nodes.where(is_product(F.col("node"))).select(*keys, "place", *node_record(F.col("node")))
 
 
 def microdata_record(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """EXT-3: itemprops of a page; content, then href, then src, then text."""
+    """EXT-3: itemprops from the first Product scope on, or of the whole page without one; content, then href, then src, then text."""
+    quoted = lambda name, text: F.nullif(F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?is)\s{name}={q}([^{q}]*){q}", 1), F.lit("")) for q in "\"'")), F.lit(""))
+    from_scope = F.regexp_extract("html", r"""(?is)<[^>]*\sitemtype=["'][^"']*Product[^>]*>.*""", 0)
+    scope = F.when(from_scope != "", from_scope).otherwise(F.col("html"))
 
     def prop(name: str) -> Column:
-        tag = F.regexp_extract("html", rf'(?is)(<[^>]*itemprop="{name}"[^>]*>[^<]*)', 1)
-        attribute = lambda a: F.nullif(F.regexp_extract(tag, rf'(?is)\s{a}="([^"]*)"', 1), F.lit(""))
-        return F.coalesce(attribute("content"), attribute("href"), attribute("src"), F.nullif(F.trim(F.regexp_extract(tag, r"(?s)>([^<]*)$", 1)), F.lit("")))
+        tag = F.regexp_extract("__scope", rf"""(?is)(<[^>]*\sitemprop=(?:"{name}"|'{name}')[^>]*>[^<]*)""", 1)
+        return F.coalesce(quoted("content", tag), quoted("href", tag), quoted("src", tag), F.nullif(F.trim(F.regexp_extract(tag, r"(?s)>([^<]*)$", 1)), F.lit("")))
 
-    return pages.where(F.col("html").contains("itemprop=")).select(*keys, prop("name").alias("title"), C.number(prop("price")).alias("price"), prop("priceCurrency").alias("currency"), C.availability_label(prop("availability")).alias("availability"), prop("brand").alias("brand"), prop("sku").alias("sku"), prop("image").alias("image"))
+    found = pages.where(F.col("html").contains("itemprop=")).select(*keys, scope.alias("__scope"))
+    return found.select(
+        *keys, prop("name").alias("title"), C.number(prop("price")).alias("price"), prop("priceCurrency").alias("currency"), C.availability_label(prop("availability")).alias("availability"), prop("brand").alias("brand"),
+        prop("sku").alias("sku"), prop("image").alias("image"), C.number(prop("ratingValue")).alias("rating"), C.number(prop("reviewCount")).alias("review_count"),
+    )
 
 
 def metas(html: Column, names) -> Column:
     """The content of the first meta of one of the names that has any."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
-    content = lambda n: F.get(F.filter(F.transform(F.filter(tags, lambda t: F.regexp_extract(t, r'(?i)(?:property|name)="([^"]*)"', 1) == n), lambda t: F.trim(F.regexp_extract(t, r'(?is)content="([^"]*)"', 1))), lambda x: x != ""), 0)
+    # Either kind of quotes: the text between them is the second group.
+    named = lambda t: F.regexp_extract(t, r"""(?i)(?:property|name)=(["'])(.*?)\1""", 2)
+    value = lambda t: F.trim(F.regexp_extract(t, r"""(?is)content=(["'])(.*?)\1""", 2))
+    content = lambda n: F.get(F.filter(F.transform(F.filter(tags, lambda t: named(t) == n), value), lambda x: x != ""), 0)
     return F.coalesce(*map(content, names))
 
 
@@ -267,7 +305,7 @@ LIST_HINTS = ("/search", "/category", "/collections", "/shop", "/c/", "/s?", "?q
 def detected_schema(url: Column, html: Column) -> Column:
     """EXT-17: the schema that fits a page: typed data, page type, repeated cards, url words, else product."""
     ld = F.array_join(F.regexp_extract_all(html, F.lit(LD_SCRIPT), 1), " ")
-    typed = F.concat(F.transform(F.regexp_extract_all(ld, F.lit(r'"@type"\s*:\s*"([^"]+)"'), 1), lambda t: F.lower(t)), F.transform(F.regexp_extract_all(html, F.lit(r'itemtype="[^"]*[/#]([^"/#]+)/?"'), 1), lambda t: F.lower(t)))
+    typed = F.concat(F.transform(F.regexp_extract_all(ld, F.lit(r'"@type"\s*:\s*"([^"]+)"'), 1), lambda t: F.lower(t)), F.transform(F.regexp_extract_all(html, F.lit(r"""itemtype=["'][^"']*[/#]([^"'/#]+)/?["']"""), 1), lambda t: F.lower(t)))
     schema = F.get(F.filter(F.transform(typed, lambda t: reduce(lambda acc, x: acc.when(t == x[0], x[1]), list(TYPE_SCHEMAS.items())[1:], F.when(t == "product", "product"))), lambda s: s.isNotNull()), 0)
     cards = F.greatest(*(F.regexp_count(html, F.lit(p)) for p in (r'itemtype="[^"]*Product"', r'class="(?:[^"]*\s)?product(?:\s[^"]*)?"', r'class="(?:[^"]*\s)?product-item(?:\s[^"]*)?"', r'class="(?:[^"]*\s)?product-card(?:\s[^"]*)?"', r'class="(?:[^"]*\s)?s-result-item(?:\s[^"]*)?"'))) >= 3
     kind = F.lower(metas(html, ("og:type", "product:type")))
@@ -292,7 +330,7 @@ class _Elements(HTMLParser):
         self.open: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": dict(attrs), "text": [], "up": self.open[-1] if self.open else None}
+        node = {"tag": tag, "attrs": dict(attrs), "text": [], "end": len(self.found) + 1}
         self.found.append(node)
         if tag not in self.VOID:
             self.open.append(node)
@@ -300,9 +338,19 @@ class _Elements(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
-                del self.open[i:]
+                self._shut(i)
                 break
 
+    def close(self):
+        super().close()
+        self._shut(0)
+
+    def _shut(self, first: int) -> None:
+        """Ends open elements: what was found since stands inside them."""
+        for node in self.open[first:]:
+            node["end"] = len(self.found)
+        del self.open[first:]
+
     def handle_data(self, data):
         for node in self.open:
             node["text"].append(data)
@@ -320,14 +368,6 @@ def _matches(node: dict, selector: str) -> bool:
     return node["tag"] == selector
 
 
-def _inside(node: dict, top: dict) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node["up"]
-    return False
-
-
 def by_selectors(pages: DataFrame, key: str, fields: list[dict], item_selector: str | None = None) -> DataFrame:
     """EXT-9: a record for each item (or page): key, item, field, value; fields hold name, selector, attribute and may hold rank.
 
@@ -340,15 +380,20 @@ def by_selectors(pages: DataFrame, key: str, fields: list[dict], item_selector:
             for page, html in zip(batch[key], batch["html"], strict=True):
                 parser = _Elements()
                 parser.feed(html or "")
-                tops = [e for e in parser.found if _matches(e, item_selector)] if item_selector else [None]
-                for i, top in enumerate(tops):
+                parser.close()
+                found = parser.found
+                # Places of the elements that each selector matches; an item is a range of places.
+                places = {sel: [k for k, e in enumerate(found) if _matches(e, sel)] for sel in {f["selector"] for f in fields}}
+                items = [(k, e["end"]) for k, e in enumerate(found) if _matches(e, item_selector)] if item_selector else [(0, len(found))]
+                for i, (start, end) in enumerate(items):
                     for f in fields:
-                        hits = [e for e in parser.found if _matches(e, f["selector"]) and (top is None or _inside(e, top))]
+                        at = places[f["selector"]]
+                        first, last = bisect_left(at, start), bisect_left(at, end)
                         value = None
-                        if hits:
-                            attribute = f.get("attribute")
-                            value = hits[0]["attrs"].get(attribute) if attribute else " ".join("".join(hits[0]["text"]).split())
-                        rows.append((page, i, f["name"], f["selector"], f.get("rank", 0), value, len(hits)))
+                        if first < last:
+                            hit, attribute = found[at[first]], f.get("attribute")
+                            value = hit["attrs"].get(attribute) if attribute else " ".join("".join(hit["text"]).split())
+                        rows.append((page, i, f["name"], f["selector"], f.get("rank", 0), value, last - first))
             yield pd.DataFrame(rows, columns=[key, "item", "field", "selector", "rank", "value", "hits"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -65,12 +65,12 @@ def set_5(spark, d):
 
 @query("ext_6_state_products", LISTED)
 def ext_6(spark, d):
-    return _listed(X.walked_products(X.state_nodes(_lists(spark, d), ["page"]), ["page"]))
+    return _listed(X.walked_products(X.state_nodes(_lists(spark, d), ["page"], X.KEYS["title"]), ["page"]))
 
 
 @query("ext_7_inline_products", LISTED)
 def ext_7(spark, d):
-    return _listed(X.walked_products(X.inline_nodes(_lists(spark, d), ["page"]), ["page"]))
+    return _listed(X.walked_products(X.inline_nodes(_lists(spark, d), ["page"], X.KEYS["title"]), ["page"]))
 
 
 @query("ext_8_node_records", LISTED.replace("concat('/item/', p_partkey) AS url", "concat('/item/', p_partkey) AS url, 'ACME' AS brand, 4.5 AS rating, CAST(9 AS DOUBLE) AS review_count"))
@@ -168,9 +168,37 @@ def ext_16(spark, d):
     return out.select("page_id", "title", "price", "availability", F.element_at("sources", "title").alias("title_source"))
 
 
-@query("ext_17_detected_schema", part_sql("'product' AS schema"))
+def _kinds(spark, d):
+    """A page for each part in one of eleven forms, each of which another rule of schema detection decides."""
+    k = (F.col("p_partkey") % 11).cast("int")
+    ld = lambda t: F.lit(f'<script type="application/ld+json">{{"@type": "{t}"}}</script>')
+    card = F.lit('<div class="big product-card">x</div>')
+    bodies = F.array(
+        ld("JobPosting"), ld("Product"), F.concat(ld("Product"), card, card, card), F.lit('<div itemscope itemtype="https://schema.org/House">'), F.lit('<meta property="og:type" content="article">'), F.lit("<meta property='og:type' content='product.item'>"),
+        F.concat(card, card, card), F.concat(card, card), F.lit("<p>x</p>"), F.lit("<p>x</p>"), F.lit("<p>x</p>"),
+    )
+    paths = F.array(*map(F.lit, ("/a", "/a", "/a", "/a", "/a", "/a", "/a", "/search", "/careers/7", "/blog/7", "/a")))
+    key = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.test"), F.element_at(paths, k + 1), F.lit("?id="), key).alias("url"), F.concat(F.element_at(bodies, k + 1), key).alias("html"))
+
+
+@query("ext_17_detected_schema", part_sql("['jobs', 'product', 'product_list', 'real_estate', 'news', 'product', 'product_list', 'product_list', 'jobs', 'news', 'product'][p_partkey % 11 + 1] AS schema"))
 def ext_17(spark, d):
-    return product_pages(spark, d).select("page_id", X.detected_schema(F.col("url"), F.col("html")).alias("schema"))
+    return _kinds(spark, d).select("page_id", X.detected_schema(F.col("url"), F.col("html")).alias("schema"))
+
+
+_LINK = r"regexp_replace(url, '^[a-zA-Z][A-Za-z0-9_+.-]*://[^/?#]*', '')"
+
+
+@query(
+    "ext_17_schema_of_raw_pages",
+    rf"""WITH p AS (SELECT page_id, html, lower(regexp_replace({_LINK}, '#.*$', '')) AS path FROM pages), t AS (SELECT *, regexp_replace(path, '\?.*$', '') AS bare, CASE WHEN contains(path, '?') THEN path ELSE concat(path, '?') END AS hay,
+    greatest(len(regexp_extract_all(html, 'itemtype="[^"]*Product"')), len(regexp_extract_all(html, 'class="(?:[^"]*\s)?product(?:\s[^"]*)?"')), len(regexp_extract_all(html, 'class="(?:[^"]*\s)?product-card(?:\s[^"]*)?"'))) >= 3 AS cards FROM p)
+    SELECT page_id, CASE WHEN cards OR hay SIMILAR TO '.*(/search|/category|/collections|/shop|/c/|/s\?|\?q=|&q=).*' THEN 'product_list' WHEN bare SIMILAR TO '.*(job|career|vacanc).*' THEN 'jobs'
+    WHEN bare SIMILAR TO '.*(real-estate|realestate|property|properties|listing|homes|rent).*' THEN 'real_estate' WHEN bare SIMILAR TO '.*(news|article|blog|story).*' THEN 'news' ELSE 'product' END AS schema FROM t""",
+)
+def ext_17_raw(spark, d):
+    return table(spark, d, "pages").select("page_id", X.detected_schema(F.col("url"), F.col("html")).alias("schema"))
 
 
 @query("ext_17_schema_of_lists", "SELECT DISTINCT trim(p_brand) AS page, 'product_list' AS schema FROM part")
@@ -183,16 +211,40 @@ def ext_18(spark, d):
     return table(spark, d, "pages").select("page_id", X.without_noise(F.col("html")).alias("html"))
 
 
-@query("flt_6_empty_pages", part_sql("'thin' AS kind"))
+@query("flt_6_empty_pages", part_sql("CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'shell' ELSE 'thin' END AS kind"))
 def flt_6(spark, d):
-    return product_pages(spark, d).select("page_id", X.emptiness(F.col("html")).alias("kind"))
+    """Pages with much text, with little of it and three scripts, with little of it and two, without any, and none at all."""
+    k, name = F.col("p_partkey") % 5, F.concat(F.lit("<p>"), "p_name", F.lit("</p>"))
+    script = F.lit("<script>var long = 'text that does not show';</script>")
+    html = F.when(k == 0, F.concat(script, script, script, F.repeat(name, 40))).when(k == 1, F.concat(script, name, script, script)).when(k == 2, F.concat(script, name, script)).when(k == 3, "")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), X.emptiness(html).alias("kind"))
+
+
+@query("ext_3_scoped_microdata", part_sql(f"p_name AS title, {PRICE} AS price, 4.5 AS rating, CAST(12 AS DOUBLE) AS review_count"))
+def ext_3_scoped(spark, d):
+    """Another scope with a name of its own stands before the product's; single quotes on every second page."""
+    p = table(spark, d, "part")
+    html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">Shop Inc</b></div><div itemscope itemtype="https://schema.org/Product"><b itemprop="name">'), "p_name", F.lit('</b><i itemprop="price" content="'), F.round("p_retailprice", 2).cast("string"), F.lit('"></i><i itemprop="ratingValue">4.5</i><i itemprop="reviewCount">12</i></div>'))
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_partkey") % 2 == 0, html).otherwise(F.translate(html, '"', "'")).alias("html"))
+    return X.microdata_record(pages, K).select("page_id", "title", "price", "rating", "review_count")
+
+
+@query("ext_5_deep_and_subtyped", part_sql("p_name AS title, concat('m', p_partkey) AS mpn, CASE p_partkey % 2 WHEN 0 THEN 'http://schema.org/Product' ELSE 'IndividualProduct' END AS kind"))
+def ext_5_deep(spark, d):
+    """Products whose types are full addresses or subtypes, twelve levels down."""
+    kind = F.when(F.col("p_partkey") % 2 == 0, "http://schema.org/Product").otherwise("IndividualProduct")
+    node = F.to_json(F.struct(kind.alias("@type"), F.col("p_name").alias("name"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("mpn")))
+    html = F.concat(F.lit('<script type="application/ld+json">' + '{"x": [' * 6), node, F.lit("]}" * 6 + "</script>"))
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    kinds = X.jsonld_nodes(pages, K, ("@type",)).select("page_id", F.try_variant_get("node", "$['@type']", "string").alias("kind"))
+    return X.jsonld_products(pages, K).select("page_id", "title", "mpn").join(kinds, "page_id")
 
 
 @query("set_1_strategy_union", LISTED.replace("concat('/item/', p_partkey)", "concat('https://shop.test/item/', p_partkey)"))
 def set_1(spark, d):
     p = _lists(spark, d)
     keys = ["page"]
-    strategies = [X.jsonld_products(p, keys), X.walked_products(X.state_nodes(p, keys), keys), X.walked_products(X.inline_nodes(p, keys), keys)]
+    strategies = [X.jsonld_products(p, keys), X.walked_products(X.state_nodes(p, keys, X.KEYS["title"]), keys), X.walked_products(X.inline_nodes(p, keys, X.KEYS["title"]), keys)]
     return _listed(X.strategy_union(strategies, keys, F.lit("https://shop.test/brand/x")))
 
 
