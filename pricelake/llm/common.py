@@ -42,9 +42,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; a folder of its own only where none is set."""
+    """A new path in the shared folder that the cluster names; where none is set, as in tests on one machine, a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -57,6 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spent(*tables: DataFrame) -> None:
+    """Frees the disk of tables from written() that nothing reads any more, by writing them anew without rows."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -66,6 +75,12 @@ def hash_order(column: str, seed: int = 0):
     return F.xxhash64(F.lit(seed), F.col(column))
 
 
+def one_text(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The columns of ids and text, for a bounded number of ids: of rows that share an id, the one with the smallest hash of its text."""
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy(*ids.columns).agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+
+
 def held_out(column: str = "doc_id"):
     """Rows never learnt from: crc32 of the id as text, modulo 5, is 0 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))

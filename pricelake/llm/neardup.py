@@ -11,9 +11,11 @@ errors) below the threshold go no further. The others are confirmed on the full
 
 Large groups stay linear. Documents with equal sets become one class first, and only the smallest
 id of a class is compared. In a bucket, every class is compared with the smallest and then with
-the largest id only; connected components of the confirmed links follow. Buckets whose members
-still lie in different components then compare members of different components with each other,
-so that no link is lost; prefix filtering on whole sets first rules out the pairs that cannot reach the threshold.
+the largest id only; connected components of the confirmed links follow. Members of a bucket that
+still lie in different components are reduced to those that can reach the threshold at all with the
+shingles that other components hold too. Each is then compared with the most central member of its
+buckets, which gathers edited copies whose smallest and largest ids are edited most; such rounds go
+on while they halve what is left. The few that remain meet by prefix filtering on whole sets, so that no link is lost.
 
 Defined cases: null or blank texts have empty sets and stay alone; rows that share an id are one
 document (the union of their sets), which each of them returns; a null id stays alone; an empty table gives no rows.
@@ -29,15 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_ascii, small_batches, words_of, written
+from .common import chunks, lower_ascii, small_batches, spent, words_of, written
 
 SHINGLE, PERCENT = 5, 75
 BAND_ROWS, BANDS, BASE = 5, 48, 1.1
 REGISTERS = BAND_ROWS * BANDS
 #: How far below the threshold an estimate must lie for a pair to be dropped unverified.
 MARGIN = 0.2
-#: Ids that may be broadcast to filter texts (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast to filter texts, and facts of classes (about 30 MB each); more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_FACTS = 500_000, 200_000
+#: Words whose hashes a task remembers (about 25 MB).
+CACHE = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.random.default_rng(20).integers(1, 1 << 31, (2, REGISTERS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 
@@ -55,7 +59,7 @@ class Shingler:
         known = self.known
         new = set(words).difference(known)
         if new:
-            if len(known) > 400_000:
+            if len(known) > CACHE:
                 known.clear()
                 new = set(words)
             known.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in new)
@@ -158,8 +162,9 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold; texts holds a row for each id."""
+def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold; texts are read for the ids in pairs only."""
+    texts = texts_of(documents, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
     both = pairs.join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -177,31 +182,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def shareable(texts: DataFrame) -> DataFrame:
-    """From doc_id, component, texts: doc_id, n, common (shingles that another component holds too), and first (those of which a link to another component needs one).
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """doc_id, shingles from doc_id, texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        shingler = Shingler()
+        for batch in batches:
+            sets = [shingler_union(shingler, t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return texts.select("doc_id", "texts").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def shareable(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """From sets (doc_id, shingles) and placed (doc_id, component): doc_id, component, n, common (shingles that another component holds too), and first (those of which a link to another component needs one).
 
     Prefix filtering over whole sets: in any common order, a set of n shingles and one that shares
     three quarters of them meet in their first n - ceil(0.75 n) + 1. Shingles that only one component
     holds stand first in the order and cannot meet, the others follow by frequency, so edited copies
     with many shingles of their own need no comparison at all.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        shingler = Shingler()
-        for batch in batches:
-            sets = [shingler_union(shingler, t).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "component", "shingles"])
-
-    sets = texts.select("doc_id", "component", "texts").mapInArrow(run, "doc_id long, component long, shingles array<long>")
-    each = written(sets.select("doc_id", "component", F.explode("shingles").alias("shingle")), "shingles")
+    each = sets.join(placed, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     across = each.groupBy("shingle").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.count("*").alias("times")).where("c_low < c_high").select("shingle", "times")
-    common = each.join(across, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    common = each.join(across, "shingle").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("common"))
     # All n shingles less those that must be shared, plus one, less those of this component alone.
     n, common_n = F.col("n"), F.size("common")
     left = n - F.ceil(n * PERCENT / 100) + 1 - (n - common_n)
     shingles = F.transform("common", lambda x: x["shingle"])
     enough = (left > 0) & (100 * common_n >= PERCENT * n)
-    return each.groupBy("doc_id").agg(F.count("*").alias("n")).join(common, "doc_id").where(enough).select("doc_id", "n", shingles.alias("common"), F.slice(shingles, F.lit(1), left.cast("int")).alias("first"))
+    return common.where(enough).select("doc_id", "component", "n", shingles.alias("common"), F.slice(shingles, F.lit(1), left.cast("int")).alias("first"))
 
 
 def shingler_union(shingler: Shingler, texts: list[str | None]) -> np.ndarray:
@@ -234,27 +243,46 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
 
 
-def mixed_buckets(members: DataFrame, whole: DataFrame) -> DataFrame:
-    """Members (doc_id, bucket, low, high) of the buckets that hold several components, with their component."""
-    placed = members.join(whole, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low < c_high").select("bucket")
-    return written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+def untested(members: DataFrame, whole: DataFrame, ends: list[str]) -> DataFrame:
+    """Members (doc_id, bucket, high) with their component, other than the ends that all were compared with, of buckets where they lie in several components."""
+    rest = members.where(" AND ".join(f"doc_id <> {end}" for end in ends))
+    placed = rest.join(whole, "doc_id", "left").select("doc_id", "bucket", "high", F.coalesce("component", "doc_id").alias("component"))
+    if len(ends) > 1:
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low < c_high").select("bucket")
+        placed = placed.join(mixed, "bucket", "left_semi")
+    return written(placed, "untested")
 
 
-def links_across(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one bucket that lie in different components, confirmed on full sets.
+def central_pairs(placed: DataFrame, facts: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Each member with the most central one (by its share of common shingles) that stands first in a bucket of its own, lies in another component and was not tested yet: a pair a member at most."""
+    share = F.size("common") / F.col("n")
+    members = placed.select("doc_id", "bucket").join(facts.select("doc_id", "component", share.alias("share")), "doc_id")
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("share", F.col("doc_id").alias("y"), F.col("component").alias("c_y"))).alias("pivot"))
+    met = members.join(pivots, "bucket").where("component <> pivot.c_y").select(F.col("doc_id").alias("x"), F.col("pivot.y").alias("y"), "pivot.share")
+    if tested is not None:
+        met = met.join(tested, ["x", "y"], "left_anti")
+    return met.groupBy("x").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
 
-    Different components share nothing but the shingles called common here, so the intersection of
-    those is that of the sets; the cheap bounds come first.
+
+def prefix_pairs(facts: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different components that share one of their first shingles, where sizes and places allow a link.
+
+    All that two sets share stands at or after the first shingle they share, in both of them, so
+    its places bound the intersection.
     """
-    facts = shareable(texts.join(placed.select("doc_id", "component").distinct(), "doc_id"))
-    left = written(placed.select("doc_id", "bucket", "component").join(facts, "doc_id"), "shareable")
-    right = left.toDF(*(f"{c}_b" if c != "bucket" else c for c in left.columns))
-    most, shared = F.least(F.size("common"), F.size("common_b")), F.size(F.array_intersect("common", "common_b"))
-    bound = 100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most)
-    near = 100 * shared >= PERCENT * (F.col("n") + F.col("n_b") - shared)
-    met = left.join(right, "bucket").where("component < component_b").where(bound & F.arrays_overlap("first", "first_b") & near)
-    return met.select(F.greatest("doc_id", "doc_id_b").alias("a"), F.least("doc_id", "doc_id_b").alias("b")).distinct()
+    keys = written(facts.select("doc_id", "component", F.col("n").cast("int").alias("n"), F.size("common").alias("c"), F.posexplode("first").alias("place", "shingle")), "keys")
+    other = keys.toDF(*(c if c == "shingle" else f"{c}_b" for c in keys.columns))
+    most = F.least(F.col("c") - F.col("place"), F.col("c_b") - F.col("place_b"))
+    met = keys.join(other, "shingle").where("component < component_b").where(100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most))
+    return met.select(F.col("doc_id").alias("x"), F.col("doc_id_b").alias("y")).distinct()
+
+
+def linked(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different components whose full sets reach the threshold, as (a, b): they share nothing but what is called common."""
+    sets = facts.select("doc_id", "n", "common")
+    both = pairs.join(sets.toDF("x", "n_x", "c_x"), "x").join(sets.toDF("y", "n_y", "c_y"), "y")
+    shared = F.size(F.array_intersect("c_x", "c_y"))
+    return both.where(100 * shared >= PERCENT * (F.col("n_x") + F.col("n_y") - shared)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -265,17 +293,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if some_repeat:
         repeated = written(repeated, "repeated")
         again = texts_of(documents, repeated.select("doc_id"))
-        sketches = written(sketches.join(repeated, "doc_id", "left_anti").unionByName(sketched_unions(again)), "sketches")
-    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    first = written(sketches.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "classes")
+        single = sketches
+        sketches = written(single.join(repeated, "doc_id", "left_anti").unionByName(sketched_unions(again)), "sketches")
+        spent(single)
+    # Equal sets have equal sketches, so any one stands for the class.
+    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"))
+    first = written(classes, "classes")
 
     buckets = bands(first)
     shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     members = written(buckets.join(shared, "bucket"), "buckets")
-    tested = likely(members.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), first)
-    tested = written(tested, "pairs")
-    texts = written(texts_of(documents, members.select("doc_id").distinct()), "texts")
-    links = written(verified(tested, texts), "links")
+    tested = written(likely(members.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), first), "pairs")
+    links = written(verified(tested, documents), "links")
     whole = components(links)
 
     def extended(more: DataFrame) -> None:
@@ -284,19 +313,37 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             links = links.unionByName(more)
             whole = components(links)
 
-    placed = mixed_buckets(members, whole)
-    if placed.limit(1).count():
-        ends = placed.where("doc_id = high").select("bucket", F.col("component").alias("c_high"))
-        pairs = placed.where("doc_id < high").join(ends, "bucket").where("component <> c_high").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
-        done = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        extended(written(verified(written(likely(pairs, first).join(done, ["a", "b"], "left_anti"), "pairs"), texts), "links"))
-        placed = mixed_buckets(members, whole)
-    if placed.limit(1).count():
-        extended(written(links_across(placed, texts), "links"))
-
-    n_links = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    facts = classes.join(whole.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left").join(n_links, "class_id", "left")
-    facts = facts.select("digest", F.col("n_shingles").alias("__n"), "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = untested(members, whole, ["low"])
+    ends = placed.where("doc_id = high").select("bucket", F.col("component").alias("c_high"))
+    pairs = placed.where("doc_id < high").join(ends, "bucket").where("component <> c_high").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
+    done = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    second = written(likely(pairs, first).join(done, ["a", "b"], "left_anti"), "pairs")
+    if second.limit(1).count():
+        extended(written(verified(second, documents), "links"))
+    spent(placed, tested, second)
+    placed = untested(members, whole, ["low", "high"])
+    sets = before = compared = None
+    while placed.limit(1).count():
+        if sets is None:
+            sets = written(shingle_sets(texts_of(documents, written(placed.select("doc_id").distinct(), "ids"))), "shingles")
+        facts = written(shareable(sets, placed.select("doc_id", "component").distinct()), "shareable")
+        now = facts.count()
+        # Rounds with central members go on while they halve what is left.
+        last = before is not None and 2 * now > before
+        pairs = written(prefix_pairs(facts) if last else central_pairs(placed, facts, compared), "pairs")
+        extended(written(linked(pairs, facts), "links"))
+        if last or not now:
+            break
+        before, compared = now, pairs if compared is None else compared.unionByName(pairs)
+        placed = untested(members.join(facts.select("doc_id"), "doc_id", "left_semi"), whole, ["low", "high"])
+    spent(members, *([sets] if sets is not None else []))
+
+    n_links = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    # Texts without copies and links need no facts: they are components of their own.
+    facts = first.select("digest", "n_shingles", "doc_id", "copies").join(whole, "doc_id", "left").join(n_links, "doc_id", "left").where("copies > 1 OR component IS NOT NULL")
+    facts = written(facts.select("digest", F.col("n_shingles").alias("__n"), F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "facts")
+    spent(first)
+    facts = F.broadcast(facts) if facts.count() <= BROADCAST_FACTS else facts
     out = sketches.select("doc_id", "n_shingles", "digest").join(facts, (sketches["digest"] == facts["digest"]) & (F.col("n_shingles") == F.col("__n")) & F.col("doc_id").isNotNull(), "left")
     if some_repeat:
         out = out.join(repeated, "doc_id", "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("times", F.lit(1)))))
