@@ -194,17 +194,40 @@ def top_2(spark, d):
 
 @query("join_8_same_product")
 def join_8(spark, d):
-    models = F.explode(C.model_tokens("title"))
-    h = _arrivals(spark, d).select("title", "sku", "gtin", "brand", "arrival", models.alias("model"), "item_id")
-    one = h.dropDuplicates(["item_id", "model"]).withColumn("block", F.concat_ws("|", "brand", "model"))
-    return P.product_pairs(one, "block", "item_id").distinct()
+    h = _arrivals(spark, d)
+    one = h.select("item_id", "title", "sku", "gtin", "brand").distinct()
+    return P.product_pairs(one, "item_id")
+
+
+def _queries(spark, d):
+    """A query for each brand: its name and the first of its parts'."""
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("query_id")).agg(F.concat_ws(" ", "p_brand", F.min("p_name")).alias("query"))
+
+
+def _searched(spark, d, **options):
+    h = _arrivals(spark, d).select("title", "retailer", "url", "price", "currency", "arrival", (F.col("price") * 1.25).alias("original_price"), F.col("item_id").cast("string").alias("product_key"))
+    past = _past(spark, d).withColumn("product_key", F.col("item_id").cast("string"))
+    return P.search(_queries(spark, d), h, P.rate_table(spark), "USD", history=past, **options)
 
 
 @query("idn_2_search")
 def idn_2(spark, d):
-    q = table(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_brand", F.concat(F.lit("m"), F.col("p_size").cast("string"))).alias("query"))
-    h = _arrivals(spark, d).select("title", "retailer", "url", "price", "currency", "arrival")
-    return P.search(q, h, P.rate_table(spark), "USD").select("query_id", "retailer", "arrival", "score", "converted", "deal_pct")
+    return _searched(spark, d).select("query_id", "retailer", "arrival", "score", "converted", "discount_pct", "deal_pct", "hist_low", "all_time_low")
+
+
+@query("idn_2_expanded_search")
+def idn_2_expanded(spark, d):
+    """Later variants count only where earlier ones find fewer than forty hits; results by match."""
+    return _searched(spark, d, minimum=40, order="match").select("query_id", "retailer", "arrival", "score", "converted")
+
+
+@query("idn_2_search_report")
+def idn_2_report(spark, d):
+    found = _searched(spark, d).withColumn("strategy", F.lit("store_api"))
+    shops = _arrivals(spark, d).select("retailer", F.lit("ok").alias("status")).distinct()
+    attempts = shops.crossJoin(F.broadcast(_queries(spark, d).select("query_id")))  # a row for each query that asks each shop
+    out = P.search_report(found, attempts)
+    return out.select("query_id", "shops", *(F.array_join(c, ",").alias(c) for c in ("strategies", "blocked", "errored")))
 
 
 @query("idn_3_groups_by_key", sql(f"x AS (SELECT *, min(converted) OVER (PARTITION BY brand, sku) AS p, concat('sku:', lower(trim(brand)), ':', sku) AS g FROM hits) SELECT {ID}, dense_rank() OVER (PARTITION BY brand ORDER BY p NULLS LAST, g) AS group_no FROM x"))
@@ -215,6 +238,4 @@ def idn_3(spark, d):
 
 @query("idn_3_groups_in_order")
 def idn_3_order(spark, d):
-    h = _arrivals(spark, d).select("brand", "sku", "title", "arrival", "item_id", "site_id")
-    schema = T.StructType([T.StructField("item_id", h.schema["item_id"].dataType), T.StructField("site_id", h.schema["site_id"].dataType), T.StructField("group_no", T.LongType())])
-    return P.groups_in_order(h, "brand", schema, lambda a, b: a["sku"] == b["sku"])
+    return P.groups_in_order(_arrivals(spark, d), "brand", ["item_id", "site_id"], 1)
