@@ -38,7 +38,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removed(read(spark, sf_dir, "documents"))
+    return substrings.removed(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
