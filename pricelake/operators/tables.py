@@ -12,7 +12,7 @@ from pricelake.functions.columns import missing, rounded
 
 
 def appended_runs(batches: DataFrame, key_field: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-1: (runs, records) of batches (site_id, fetched_at, healed, used_llm, confidence, records: array of map).
+    """SRC-1: (runs, records) of batches (site_id, fetched_at, healed, used_llm, confidence, records: array of map), to append (changes.appended).
 
     A record's key is the text of its key field, null when that is missing.
     """

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.operators import tables as M
+from pricelake.operators.changes import appended
 from pricelake.sources.inputs import obs, runs, sites, table, with_views
 
 from .registry import query
@@ -22,14 +25,22 @@ def _batches(spark, d):
     return runs(spark, d).withColumn("records", F.array(first, second))
 
 
+def _appended(spark, d, part: int):
+    """Runs (0) or records (1), appended in two batches to a table with a folder for each day, and read again."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/runs-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        appended(M.appended_runs(_batches(spark, d).where(F.col("run_id") % 2 == half), "url")[part], path, "fetched_at")
+    return spark.read.parquet(path)
+
+
 @query("src_1_appended_runs", with_views("SELECT site_id, fetched_at, 2 AS record_count, healed, used_llm FROM runs", "runs"))
 def src_1(spark, d):
-    return M.appended_runs(_batches(spark, d), "url")[0].select("site_id", "fetched_at", "record_count", "healed", "used_llm")
+    return _appended(spark, d, 0).select("site_id", "fetched_at", "record_count", "healed", "used_llm")
 
 
 @query("src_1_appended_records", with_views("SELECT site_id, fetched_at, concat('u', run_id) AS item_key FROM runs UNION ALL SELECT site_id, fetched_at, CASE WHEN run_id % 3 > 0 THEN concat('v', run_id) END FROM runs", "runs"))
 def src_1_records(spark, d):
-    return M.appended_runs(_batches(spark, d), "url")[1].select("site_id", "fetched_at", "item_key")
+    return _appended(spark, d, 1).select("site_id", "fetched_at", "item_key")
 
 
 @query("src_2_upserted_sites", with_views("SELECT CASE WHEN id % 2 = 0 OR id % 3 > 0 THEN id ELSE id + 1000000 END AS id, url, CASE WHEN id % 3 = 0 THEN 5 ELSE interval_minutes END AS interval_minutes, CASE WHEN id % 2 = 0 OR id % 3 > 0 THEN 'old' ELSE 'new' END AS created_at FROM sites WHERE id % 2 = 0 OR id % 3 = 0 OR id % 3 > 0", "sites"))
@@ -60,12 +71,23 @@ def src_7(spark, d):
     return M.latest_pages(M.archived(p)).select("archive_key", "url", "html")
 
 
-@query("src_9_cascade_delete", with_views("SELECT 'sites' AS name, count(*) AS rows FROM sites WHERE id % 3 > 0 UNION ALL SELECT 'runs', count(*) FROM runs WHERE site_id % 3 > 0", "sites", "runs"))
+@query(
+    "src_9_cascade_delete",
+    with_views(
+        """SELECT 'sites' AS name, count(*) AS rows FROM sites WHERE id % 3 > 0 UNION ALL SELECT 'runs', count(*) FROM runs WHERE site_id % 3 > 0 UNION ALL SELECT 'records', 2 * count(*) FROM runs WHERE site_id % 3 > 0
+        UNION ALL SELECT 'changes', count(*) FROM obs WHERE site_id % 3 > 0 UNION ALL SELECT 'alert_events', count(*) FROM obs WHERE site_id % 3 > 0 AND availability = 'Out of stock'""",
+        "sites",
+        "runs",
+        "obs",
+    ),
+)
 def src_9(spark, d):
-    s = sites(spark, d)
-    left = M.without_sites({"sites": (s, "id"), "runs": (runs(spark, d), "site_id")}, s.where("id % 3 = 0").select("id").unionByName(runs(spark, d).where("site_id % 3 = 0").select(F.col("site_id").alias("id"))))
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    """The rows that are left in each of the five tables."""
+    s, r, o = sites(spark, d), runs(spark, d), obs(spark, d)
+    tables = {"sites": (s, "id"), "runs": (r, "site_id"), "records": (r.select("site_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item_key")), "site_id"), "changes": (o, "site_id"), "alert_events": (o.where("availability = 'Out of stock'"), "site_id")}
+    gone = reduce(DataFrame.unionByName, (df.where(f"{key} % 3 = 0").select(F.col(key).cast("long").alias("id")) for df, key in tables.values())).distinct()
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in M.without_sites(tables, gone).items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("src_10_paused_sites", with_views("SELECT id, CASE WHEN id % 5 = 0 THEN 0 ELSE active END AS active FROM sites", "sites"))
