@@ -13,7 +13,8 @@ aligned stretch. Base phrases are templates that must match whole; all their pla
 their rarest word is always looked up.
 
 Defined cases: a null or blank text has no words, no labels and score 0; repeated rows each give
-a row; an empty table gives no rows.
+a row; of several notices every label is given, and the highest cover is the score; a very long text
+is scanned whole; carried columns may have any name but those of the results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,18 @@ ANCHORS, COVER = 24, 0.8
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, notice, mandatory key phrases (one of them must stand in the text).
+#: Label, notice or paragraph of a licence's body, mandatory key phrases (one of them must stand in the text).
 TEMPLATES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("deal in the software without restriction",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("except in compliance with the license",)),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("agreed to in writing software distributed under the license",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("redistribute it and or modify it under the terms of the gnu general public license",)),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("copy of the mpl was not distributed",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("alter it and redistribute it freely",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("apache", "licensed under the apache license", ("apache license",)),
     ("mit", "released under the mit license", ("mit license",)),
