@@ -4,14 +4,16 @@ The size of a document is its number of words. Sources in code-point order (null
 weights 5, 2, 1 in turn and share ``SHARE`` times all words; no source is asked for more than
 ``REPEATS`` times its own words, and what it cannot take is shared by weight among the rest until
 none is above (water-filling: each target is the smaller of its cap and a common level times its
-weight). Within a source, documents stand in the order of a hash of their id. Hash keys are
+weight). Within a source, documents stand in the order of a hash of their id and text. Hash keys are
 uniform, so equal key ranges hold about equal numbers of rows: sums per (source, range) give each
 range its offset, and a running sum inside a range its documents' places. A source takes whole
 epochs of all its documents as often as the target allows and then the documents before the cut;
 the document at the cut is taken in part, so that the taken words meet the rounded-down target.
 
 Defined cases: null or blank texts have size 0 and take 0; repeated rows are separate documents;
-an empty table gives no rows; a source of blank texts only has target 0; extra columns are ignored.
+an empty table gives no rows; a source of blank texts only has target 0; a very long text is one size;
+extra columns are ignored, whatever their names. Targets are found over a row per source in one
+task, which suits sources named in thousands, not a source per host.
 """
 
 from __future__ import annotations
@@ -47,8 +49,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mixed(documents: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (and carried columns) for every document."""
     carry = carry or []
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = documents.select("doc_id", "source", *carry, size_of().alias("size"), key.alias("__key"), F.xxhash64("text").alias("__text")).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    # The text's own digest parts rows that share an id or have none.
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+    sized = documents.select("doc_id", "source", *carry, size_of().alias("size"), key.alias("__key")).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
     # A key without nulls: windows and join then need the same partitioning, and rows are shuffled once.
     sized = sized.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     ranges = sized.groupBy("source", "__source", "__range").agg(F.sum("size").alias("__range_size"))
@@ -57,7 +61,7 @@ def mixed(documents: DataFrame, carry: list[str] | None = None) -> DataFrame:
     offsets = ranges.select(F.col("source").alias("__s"), "__source", "__range", F.coalesce(F.sum("__range_size").over(before), F.lit(0)).alias("__offset"))
     goals = goals.select(F.col("source").alias("__g"), "source_size", "target")
     facts = offsets.join(goals, F.col("__s").eqNullSafe(F.col("__g"))).select("__source", "__range", "__offset", "source_size", "target")
-    inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("__within", F.sum("size").over(inside) - F.col("size"))
     joined = placed.join(facts, ["__source", "__range"])
     budget = F.floor("target")
@@ -69,7 +73,7 @@ def mixed(documents: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
 v AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS n FROM w),
