@@ -6,13 +6,16 @@ an empty line pair, which is the writer's separator). Pages with equal payloads
 
 Reading: archives are split anywhere. Every occurrence of the magic line starts a segment; a
 segment with a readable header is a candidate record, whose length names its successor's offset.
-Segments that follow one another's links form runs; pointer jumping over the runs, from the start
-of each file, keeps only what is reachable, so a magic line or a whole record inside a payload is
-not taken for a record. A record that holds several segments is put together again.
-
-Defined cases: a null html is an empty payload; a null page id gives a record without an id, never
-a revisit; rows that share the largest id of a payload are all responses; an empty table gives an
-empty archive and no records.
+Offsets come from the octets of each split, summed over the splits of a file, so no task sees more
+of an archive than a split. Segments of a split that follow one another's links form runs; pointer
+jumping over the runs, from the start of each file, keeps only what is reachable, so a magic line or
+a whole record inside a payload is not taken for a record. A record that holds several segments is
+put together again.
+
+Defined cases: a null html is an empty payload; a null page id gives a record under a digest instead
+of a page's name, never a revisit; rows that share the largest id of a payload are all responses; a
+very long payload is one record, held whole by one task; extra columns are ignored, whatever their
+names; an empty table gives an empty archive and no records.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ def _octets(c: Column) -> Column:
     return F.octet_length(c).cast("long")
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes page_id, url, html as WARC files under path."""
+def write_archives(pages: DataFrame, path: str, at: Column | None = None) -> None:
+    """Writes page_id, url, html as WARC files under path, each with a warcinfo record first; at is the time of capture, else now."""
     html = F.coalesce(F.col("html"), F.lit(""))
     digested = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), _octets(html).alias("bytes"))
     groups = digested.where(f"bytes >= {REVISIT_BYTES} AND page_id IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("least")).where("least < first").select(F.unhex("digest").alias("d"), "first")
@@ -44,13 +47,16 @@ def write_archives(pages: DataFrame, path: str) -> None:
     placed = digested.join(groups, (F.unhex("digest") == F.col("d")) & (F.col("bytes") >= REVISIT_BYTES), "left")
     revisit = F.coalesce(F.col("page_id") < F.col("first"), F.lit(False))
     urn = lambda c: F.concat(F.lit(f"<{URN}"), c.cast("string"), F.lit(">"))
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = F.coalesce(urn(F.col("page_id")), F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws(" ", "url", "digest").cast("binary")), F.lit(">")))
     line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), c, F.lit("\r\n")), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Record-ID", name),
+        line("WARC-Date", date),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
         line("WARC-Refers-To", F.when(revisit, urn(F.col("first")))),
         line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
@@ -60,7 +66,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit(END),
         block,
     )
-    placed.select(record.alias("value")).write.option("lineSep", END).text(path)
+    about = "software: pricelake\r\nformat: WARC File Format 1.0\r\n"
+    file_id = F.concat(F.lit("<urn:file:"), F.spark_partition_id().cast("string"), F.lit(">"))
+    info = F.concat(F.lit(MAGIC), line("WARC-Type", F.lit("warcinfo")), line("WARC-Record-ID", file_id), line("WARC-Date", date), F.lit(f"Content-Type: application/warc-fields\r\nContent-Length: {len(about)}{END}{about}{END}"))
+    # A task writes one file; the lower 33 bits number its rows.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    placed.select(F.concat(F.when(first, info).otherwise(""), record).alias("value")).write.option("lineSep", END).text(path)
 
 
 def _field(header: str, name: str) -> Column:
@@ -81,12 +92,23 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
 
 
+def _in_split():
+    return Window.partitionBy("file", "block").orderBy("seq")
+
+
+def _earlier_splits():
+    """The splits of a file before one; a file has few."""
+    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _placed(found: DataFrame) -> DataFrame:
     """Segments with the offset of the magic before each; what stands before a file's first magic is left out."""
-    by_file = Window.partitionBy("file").orderBy("block", "seq")
-    size = F.col("octets") + F.when(F.lead("octets").over(by_file).isNull(), 0).otherwise(len(MAGIC))
-    placed = found.withColumn("after", F.sum(size).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
-    return placed.where("after IS NOT NULL").withColumn("offset", F.col("after") - len(MAGIC)).drop("after")
+    size = F.col("octets") + len(MAGIC)
+    splits = found.groupBy("file", "block").agg(F.sum(size).alias("size"))
+    base = splits.select("file", "block", F.sum("size").over(_earlier_splits()).alias("base"))
+    inside = F.sum(size).over(_in_split().rowsBetween(Window.unboundedPreceding, -1))
+    placed = found.join(base, ["file", "block"]).withColumn("after", F.coalesce("base", F.lit(0)) + F.coalesce(inside, F.lit(0)))
+    return placed.where("after > 0").withColumn("offset", F.col("after") - len(MAGIC)).drop("after", "base")
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -121,15 +143,19 @@ def reachable(runs: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """record_id, type, refers_to, target, payload_bytes, payload_digest of every record in the archives under path."""
     found = written(segments(spark, path), "segments")
-    placed = _placed(found).withColumn("next", F.col("offset") + F.col("link"))
-    in_file = Window.partitionBy("file").orderBy("offset")
-    placed = placed.withColumn("follower", F.lead("offset").over(in_file)).withColumn("before", F.lag("next").over(in_file))
-    leaps = placed.where("next IS NOT NULL AND follower IS NOT NULL AND next <> follower").select("file", F.col("next").alias("offset")).distinct().withColumn("target", F.lit(True))
-    head = (F.col("offset") == 0) | F.col("target").isNotNull() | ~F.coalesce(F.col("before") == F.col("offset"), F.lit(False))
-    chained = placed.join(leaps, ["file", "offset"], "left").withColumn("run", F.sum(head.cast("long")).over(in_file)).drop("target", "before")
+    placed = _placed(found).withColumn("next", F.col("offset") + F.col("link")).withColumn("follower", F.col("offset") + len(MAGIC) + F.col("octets"))
+    leaps = placed.where("next <> follower").select("file", F.col("next").alias("offset")).distinct().withColumn("target", F.lit(True))
+    before = F.lag("next").over(_in_split())
+    head = F.col("target").isNotNull() | ~F.coalesce(before == F.col("offset"), F.lit(False))
+    numbered = placed.join(leaps, ["file", "offset"], "left").withColumn("head", head)
+    chained = numbered.withColumn("run", F.struct("block", F.sum(F.col("head").cast("long")).over(_in_split()).alias("n"))).drop("target", "head")
     runs = written(chained.groupBy("file", "run").agg(F.min("offset").alias("start"), F.max_by("next", "offset").alias("next")), "runs")
     kept = reachable(runs).withColumn("reached", F.lit(True))
-    marked = chained.join(kept, ["file", "run"], "left").withColumn("record", F.last(F.when(F.col("reached") & F.col("header").isNotNull(), F.col("offset")), ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = chained.join(kept, ["file", "run"], "left").withColumn("own", F.when(F.col("reached") & F.col("header").isNotNull(), F.col("offset")))
+    # The record that a segment belongs to starts in its split or in the last one before that has any.
+    carried = marked.groupBy("file", "block").agg(F.max("own").alias("own")).select("file", "block", F.max("own").over(_earlier_splits()).alias("carried"))
+    inside = F.max("own").over(_in_split().rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.join(carried, ["file", "block"]).withColumn("record", F.coalesce(inside, "carried")).drop("own", "carried")
     # Whole records inside a payload, whose text was not kept: those files are read once more.
     inner = marked.where("record IS NOT NULL AND reached IS NULL AND whole").select("file", "offset")
     if inner.limit(1).count():
@@ -161,7 +187,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "archives")
     write_archives(pages, path)
     page = lambda c: F.regexp_extract(c, rf"{URN}(-?\d+)", 1).try_cast("long")
-    return read_archives(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
+    return read_archives(spark, path).where("type <> 'warcinfo'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
 WARC_SQL = f"""
