@@ -23,8 +23,7 @@ CHANGE = "site_id long, item_id long, seen_at timestamp, old_price double, new_p
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get if state.exists else None
     out = []
-    rows = pd.concat(list(batches)).sort_values(["seen_at", "tie1", "tie2"])
-    for seen, price, a, b in zip(rows["seen_at"], rows["price"], rows["tie1"], rows["tie2"], strict=True):
+    for seen, a, b, price in sorted(row for rows in batches for row in zip(*(rows[c].tolist() for c in ("seen_at", "tie1", "tie2", "price")), strict=True)):
         place = (seen.value, int(a), int(b))
         if last is not None and place <= tuple(last[1:]):
             continue  # older than what is stored
@@ -33,7 +32,8 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         last = (float(price), *place)
     if last is not None:
         state.update(last)
-    yield pd.DataFrame(out, columns=["site_id", "item_id", "seen_at", "old_price", "new_price"])
+    if out:
+        yield pd.DataFrame(out, columns=["site_id", "item_id", "seen_at", "old_price", "new_price"])
 
 
 def change_stream(points: DataFrame) -> DataFrame:
