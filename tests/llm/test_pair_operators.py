@@ -55,7 +55,8 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_duplicates(documents, rows, empty):
+def assert_components(found, rows):
+    """Components, sizes and kept of every row against all pairs."""
     sets = {i: shingles(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -70,16 +71,38 @@ def test_near_duplicates(documents, rows, empty):
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
-    found = neardup.near_duplicates(documents).collect()
     assert len(found) == len(rows)
     for r in found:
         if r["doc_id"] is None:
             assert r["kept"] and r["component_id"] is None
         else:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
+    return len({find(i) for i in ids})
+
+
+def test_near_duplicates(documents, rows, empty):
+    assert_components(neardup.near_duplicates(documents).collect(), rows)
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_a_bucket_of_many_unlinked_members(spark, monkeypatch):
+    """Edited copies of a text that is not there itself: they share buckets, few are linked, and most pairs are ruled out uncompared."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(700):
+        copy = list(base)
+        for k in rng.sample(range(5, 115), 3 if i % 2 else 4):
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+    met = []
+    plain = neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda facts: met.append(plain(facts).count()) or plain(facts))
+    groups = assert_components(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    assert groups > 100
+    assert sum(met) < len(rows) * (len(rows) - 1) / 2 / 3
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     shared, left, right = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (600, 100, 100))
@@ -90,7 +113,8 @@ def test_sketches_merge_and_estimate():
     assert abs(near - 0.75) < 0.12
 
 
-def test_substrings(documents, rows, empty):
+def cut_by_windows(rows):
+    """(id, words, removed, spans, digest) of each row, window by window."""
     first = {}
     for i, t in sorted(rows, key=lambda r: substrings.LAST if r[0] is None else r[0]):
         w, key = words(t), substrings.LAST if i is None else i
@@ -101,16 +125,64 @@ def test_substrings(documents, rows, empty):
     for i, t in rows:
         w, key = words(t), substrings.LAST if i is None else i
         gone = {s + k for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] < (key, s) for k in range(20)}
-        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
-    found = [tuple(r) for r in substrings.removed(documents).collect()]
-    assert sorted(found, key=str) == sorted(want, key=str)
+        spans = [s for s in sorted(gone) if s - 1 not in gone], [s + 1 for s in sorted(gone) if s + 1 not in gone]
+        want.append((i, len(w), len(gone), tuple(zip(*spans, strict=True)), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(want, key=str)
+
+
+def cut(documents):
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], tuple(map(tuple, r["spans"])), r["kept_sha256"]) for r in substrings.removed(documents).collect()), key=str)
+
+
+def test_substrings(documents, rows, empty):
+    assert cut(documents) == cut_by_windows(rows)
     assert substrings.removed(empty).count() == 0
 
 
-def test_long_prefixes_give_the_same(monkeypatch, documents):
-    a = sorted(map(str, substrings.removed(documents).collect()))
-    monkeypatch.setattr(substrings, "LONG_PREFIX", 1)
-    assert sorted(map(str, substrings.removed(documents).collect())) == a
+@pytest.mark.parametrize("rows_of_a_group", [20, 2])
+def test_prefixes_are_lengthened_until_groups_fit(monkeypatch, documents, rows, rows_of_a_group):
+    """Down to groups that even the whole window cannot split, which are merged in salted parts."""
+    made = []
+    plain = substrings.grouped
+    monkeypatch.setattr(substrings, "GROUP_ROWS", rows_of_a_group)
+    monkeypatch.setattr(substrings, "grouped", lambda *a: made.append(plain(*a)) or made[-1])
+    assert cut(documents) == cut_by_windows(rows)
+    groups, salts = made[0]
+    assert groups.levels and (rows_of_a_group > 2 or len(groups.levels) == 3 and salts)
+
+
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    twice = f"{text} {text}"
+    rows = [(7, twice), (7, twice.replace(" ", "  ")), (7, text), (9, twice), (9, twice), (8, f"{text} x"), (None, twice), (None, twice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        assert cut(df.repartition(parts)) == cut_by_windows(rows)
+
+
+def test_nodes_of_the_suffix_tree():
+    """Every repeat that can be lengthened on no side to the right, and how often it stands, against all substrings."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 3, 400)
+    text[200:260] = text[20:80]
+    h = np.array([substrings.xxhash.xxh64_intdigest(bytes([c])) for c in text], np.uint64)
+    n = len(text) - substrings.WINDOW + 1
+    s = np.zeros(n, substrings.SUFFIX)
+    s["words"] = np.lib.stride_tricks.sliding_window_view((h >> np.uint64(48)).astype(np.uint16), substrings.WINDOW)
+    s["full"], s["start"] = substrings.prefixes(h)[-1], np.arange(n)
+    s = substrings.by_words(s[rng.permutation(n)])
+    found = {(depth, tuple(sorted(s["start"][a : b + 1].tolist()))) for depth, first, last in substrings.nodes(substrings.common_lengths(s)) for a, b in zip(first, last, strict=True)}
+    want = set()
+    for depth in range(1, substrings.WINDOW + 1):
+        places = {}
+        for k in range(n):
+            places.setdefault(tuple(text[k : k + depth]), []).append(k)
+        for at in places.values():
+            if len(at) > 1 and (depth == substrings.WINDOW or len({text[k + depth] for k in at}) > 1):
+                want.add((depth, tuple(at)))
+    assert found == want
+    deep = [at for depth, at in want if depth == substrings.WINDOW]
+    assert sorted(s["start"][substrings.later(s)].tolist()) == sorted(k for at in deep for k in at[1:])
 
 
 def page_rows():
@@ -173,53 +245,63 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert ann.neighbours(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_neighbour_recall(spark, sf_dir):
-    """With a sixth of the usual search effort, on a larger table."""
+def recall(spark, x, **options):
+    """Share of the ten nearest that are found, over all queries; what is found must carry its exact distance."""
     from pyspark.sql import functions as F
 
-    folder = sf_dir.replace("sf0.001", "sf0.1")
-    df = spark.read.parquet(f"{folder}/embeddings.parquet")
-    table = df.toPandas()
-    x, ids = np.stack(table["embedding"]).astype(float), table["vec_id"].to_numpy()
-    got = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, find=4000).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    hit = 0
-    for q in got:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        d[ids == q] = np.inf
-        hit += len(got[q] & set(ids[np.argsort(d)[:10]].tolist()))
-    assert hit / (10 * len(got)) >= 0.9
-
-
-@pytest.mark.parametrize(("n", "find"), [(400, 24_000), (3000, 100), (20_000, 100)])
-def test_neighbours_are_exact_at_any_size(spark, n, find):
-    """Nearly random vectors, with search effort from the whole table down to a two-hundredth of it."""
-    from pyspark.sql import functions as F
-
-    rng = np.random.default_rng(n)
-    x = rng.normal(size=(n, 32)).astype(np.float32) + 2 * rng.normal(size=(7, 32)).astype(np.float32)[rng.integers(0, 7, n)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, find=find).collect()}
-    assert len(got) == 10 * len(range(0, n, 100))
-    x = x.astype(float)
-    for q in range(0, n, 100):
+    got = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, **options).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    x, hit = x.astype(float), 0
+    assert set(got) == set(range(0, len(x), 100))
+    for q, found in got.items():
+        assert len(found) == 10
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
-        want = np.lexsort((np.arange(n), d))[:10]
-        assert [got[q, k + 1][0] for k in range(10)] == want.tolist()
-        assert np.allclose([got[q, k + 1][1] for k in range(10)], d[want], atol=1e-12)
-
-
-def test_blocks_beyond_a_bound_are_left_out():
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(4000, 8)) + 20 * rng.normal(size=(8, 8))[rng.integers(0, 8, 4000)]
-    tree = ann.Tree(x, 100, 1)
-    bounds = np.sort(np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2)), axis=1)[:, 10]
-    inside, leaf = tree.within(x[:50], bounds), tree.leaves(x)
-    for i in range(50):
-        assert inside[i][leaf[np.sqrt(((x - x[i]) ** 2).sum(1)) <= bounds[i]]].all()
-    assert inside.mean() < 0.5
+        hit += len(set(found) & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+        assert np.allclose(list(found.values()), d[list(found)], atol=1e-12)
+    return hit / (10 * len(got))
+
+
+def visited(x, queries):
+    """Share of the table in the leaves that a query opens, on average."""
+    x = x.astype(float)
+    sample = x[np.random.default_rng(0).permutation(len(x))[: ann.SAMPLE]]
+    forest = ann.grown(sample, len(x))
+    leaves, radius, share = [t.leaves(x) for t in forest], ann.radii(x[queries], sample, 11), []
+    for q, r in zip(queries, radius, strict=True):
+        seen = np.zeros(len(x), bool)
+        for k, leaf in ann.search(forest, x[q], (ann.REACH * r) ** 2 / x.shape[1]):
+            seen |= leaves[k] == leaf
+        share.append(seen.mean())
+    return float(np.mean(share))
+
+
+def test_neighbour_recall_on_the_table(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    x = np.stack(spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()["embedding"])
+    assert recall(spark, x) >= 0.9
+
+
+def test_neighbour_recall_where_few_leaves_are_visited(spark):
+    """50,000 clustered vectors with production parameters: under a tenth of the table is visited."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(50_000, 32)) + 6 * rng.normal(size=(400, 32))[rng.integers(0, 400, 50_000)]).astype(np.float32)
+    assert visited(x, list(range(0, 50_000, 500))) < 0.1
+    assert recall(spark, x) >= 0.9
+
+
+@pytest.mark.parametrize(("n", "leaf"), [(3000, 64), (20_000, 256)])
+def test_neighbour_recall_without_structure(spark, n, leaf):
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    assert recall(spark, x, leaf=leaf) >= 0.9
+
+
+def test_buckets_are_sliced_for_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SLICE", 5)
+    x = np.random.default_rng(6).normal(size=(3000, 8)).astype(np.float32)
+    assert recall(spark, x, leaf=32) >= 0.9
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

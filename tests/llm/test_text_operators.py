@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pricelake.llm import licenses, mixing, packing, quality, secrets, toxicity
-from pricelake.llm.common import lower_ascii, words_of
+from pricelake.llm.common import lower_ascii, one_text, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string, spans string, words string"
 TEXTS = [
@@ -70,6 +70,26 @@ def test_toxicity_learns_and_reruns_agree():
     assert toxicity.train(["a"], [1]) is None
 
 
+def test_toxicity_learns_without_preset_embeddings():
+    net = toxicity.train(*labelled(300, 1), preset=False)
+    texts, labels = labelled(200, 2)
+    assert np.mean((toxicity.Scorer(net)(texts) >= 0.5) == np.array(labels)) >= 0.95
+
+
+def test_toxicity_scores_every_window():
+    """Against windows cut and scored one by one, each alone in a batch."""
+    net = toxicity.train(*labelled(60, 4))
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(n)) for n in (1, 24, 47, 48, 49, 72, 73, 200)]
+    texts.append(" ".join(["tari"] * 150 + ["vileword"] + ["tari"] * 90))
+    for text, score in zip(texts, toxicity.Scorer(net)(texts), strict=True):
+        words = text.split()
+        starts = [s for s in range(0, len(words), toxicity.STRIDE) if s == 0 or s + toxicity.WINDOW - toxicity.STRIDE < len(words)]
+        assert max(starts) + toxicity.WINDOW >= len(words)
+        each = [toxicity.Scorer(net)([" ".join(words[s : s + toxicity.WINDOW])])[0] for s in starts]
+        assert abs(max(each) - score) < 1e-5
+
+
 def test_toxicity_gradients():
     net = toxicity.train(*labelled(30, 3))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -190,6 +210,35 @@ def test_quality_finds_odd_texts(spark):
     assert np.mean([r["kept"] == (r["doc_id"] % 4 > 0) for r in out]) >= 0.97
 
 
+def test_quality_paths_against_walks_of_each_tree():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    forest = quality.Forest(x, np.concatenate([x, x * 5]))
+    rows = np.concatenate([x[:20], rng.normal(size=(20, 8)) * 4])
+    score = forest.score(rows)
+    for row, found in zip(rows, score, strict=True):
+        paths = []
+        for feature, cut, left, right, length in forest.trees:
+            at = depth = 0
+            while feature[at] >= 0:
+                at, depth = (left[at] if row[feature[at]] < cut[at] else right[at]), depth + 1
+            assert length[at] >= depth
+            paths.append(length[at])
+        assert abs(2 ** (-np.mean(paths) / forest.average(forest.size)) - found) < 1e-9
+    assert score[:20].mean() < score[20:].mean()
+
+
+def test_samples_are_bounded_where_an_id_repeats(spark):
+    words = lambda seed: " ".join("".join(random.Random(f"{seed}{k}").choices("abcdefgh", k=5)) for k in range(40))
+    docs = spark.createDataFrame([(1, words(k)) for k in range(300)] + [(i, words(i)) for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    chosen = [sorted(map(tuple, one_text(d, labels.select("doc_id")).collect())) for d in (docs, docs.repartition(5))]
+    assert chosen[0] == chosen[1] and len(chosen[0]) == 39
+    assert toxicity.training_sample(docs, labels).groupBy("doc_id").count().where("count > 1").count() == 0
+    a = sorted(map(str, quality.judged(docs, labels).collect()))
+    assert len(a) == 338 and a == sorted(map(str, quality.judged(docs.repartition(5), labels).collect()))
+
+
 def test_secrets_against_plain_patterns(documents, empty):
     rows = by_id(secrets.scanned(documents))
     for i, t in enumerate(TEXTS):
@@ -232,6 +281,45 @@ def test_secrets_in_addresses_and_of_letters_only():
     assert found("file/550E8400-E29B-41D4-A716-446655440000") == []
 
 
+def test_random_spans_against_a_search_of_all_spans():
+    tokens = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    rng = random.Random(6)
+    run = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    for _ in range(60):
+        words = [rng.choice([run(24), run(8), "password=" + run(14), "AKIA" + run(18).upper(), "deadbeef" * 3, "plain words here", "token: '" + run(20) + "'"]) for _ in range(30)]
+        text = rng.choice([" ", "/", ","]).join(words)
+        base = secrets.base_spans(text)
+        want = []
+        for m in secrets._RUN.finditer(text):
+            if not any(s < m.end() and m.start() < e for s, _, e in base):
+                want += [(m.start() + s, 3, m.start() + e) for s, e in secrets.random_parts(m[0], tokens)]
+        assert secrets.random_spans(text, tokens, base) == want
+
+
+def test_random_spans_take_time_in_proportion_to_the_text():
+    import time
+
+    tokens = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    took = []
+    for n in (2000, 16_000):
+        text = "password=abcdefghijkl12345 q7Xk2Zp9LmN4vB8sTr1Yw6Ud " * n
+        began = time.process_time()
+        assert len(secrets.spans_of(text, tokens)[1]) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_word_encoder_against_the_tokenizer():
+    """Odd strings: marks, digits, accents, other scripts, contractions, control characters and special tokens' names."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+    rng = random.Random(9)
+    pieces = ["a", "Z", "the", "Don't", "we'LL", "'s", "1", "42", ".", "...", "!?", "<|", "|>", "<|endoftext|>", "é", "À", "ß", "ı", "İ", "ſ", "文", "字", "🙂", "\u0301", "\u00a0", "\u200b", "\x00", "\x1c", "\x85", "-", "_", "#", "</w>", "µ", "ª", "½", "…", "“"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(1, 12)))
+        assert encoder.encode([text])[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.CLOSE], repr(text)
+
+
 def test_packing(spark, documents, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     rows = packing.packed(documents).collect()
@@ -269,6 +357,16 @@ def test_knapsack_against_brute_force():
     assert abs(value - best) < 1e-9 and abs(pattern @ prices - best) < 1e-9
 
 
+def test_mixing_spreads_rows_without_an_id(spark):
+    """Null and repeated ids fall into ranges by their texts, and reruns agree."""
+    rows = [(None if k % 2 else 7, f"{k} " * (k % 9), "s") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(docs, ["text"]).collect()
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mixed(docs.repartition(5), ["text"]).collect()))
+    assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 1
+    assert all(r["size"] <= r["taken"] <= 2 * r["size"] for r in out)
+
+
 def test_mixing(spark, documents, empty):
     rows = mixing.mixed(documents).collect()
     assert len(rows) == documents.count()
