@@ -13,7 +13,8 @@ Word by word, the ids come from the vocabulary's own merges run by a byte-pair e
 cache; words with characters outside ASCII and Latin-1 letters go through the tokenizer itself.
 
 Defined cases: a null or blank text is the single id 1; rows repeated whole are packed each; a
-document that fills several pieces has rows at ascending starts; an empty table gives no rows.
+document that fills several pieces, however long, has rows at ascending starts; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ LENGTH, GRAIN, GAP = 2048, 16, 1e-4
 CAPACITY = LENGTH // GRAIN
 #: Rests that one bucket of a class may hold when ranks are counted, about.
 BUCKET_ROWS = 20_000
-CACHE = 1_000_000
+#: Words that a task remembers before it starts afresh (about 60 MB).
+CACHE = 300_000
 _MARKS = ".,;:!?|"
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words whose normal form is their lower case: printable ASCII and Latin-1 letters.
@@ -129,7 +131,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder_of(path: str) -> WordEncoder:
-    """One encoder for each process, so that tasks share what earlier ones learnt."""
+    """One encoder for each process; what a task learns on top of the vocabulary is forgotten at its end."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -141,11 +143,15 @@ def pieces(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = encoder_of(public_tokenizers.path(vocabulary))
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in chunks(texts, [len(t or "") for t in texts], 400_000):
-                rows = [(d, s, min(LENGTH, len(x) - s), zlib.crc32(x[s : s + LENGTH].tobytes()), len(x)) for d, x in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True) for s in range(0, len(x), LENGTH)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for i, j in chunks(texts, [len(t or "") for t in texts], 400_000):
+                    rows = [(d, s, min(LENGTH, len(x) - s), zlib.crc32(x[s : s + LENGTH].tobytes()), len(x)) for d, x in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True) for s in range(0, len(x), LENGTH)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            # Workers live on and serve other stages.
+            encoder.forget()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
