@@ -2,6 +2,12 @@
 
 Every stage works on all rows that the one before it kept. Between stages the rows are written as
 Parquet into the shared folder and read again, so a lost executor costs a stage at most.
+
+Defined cases: a null text counts as empty and passes every filter; a null id is no copy of anything
+and is kept; of rows that share an id, the one with the smallest hash of its text is kept, whatever
+partitions they lie in; very long texts are handled whole; columns that no stage reads are carried to
+the packing stage under their own names, even where those clash with columns of an operator; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,8 +20,8 @@ from pricelake.llm.common import WORD, written
 
 #: SQL for the rows of run(); the stages cannot be written in it.
 ORACLE_SQL = None
-#: Ids that may be broadcast to drop documents (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast to drop documents (about 30 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 #: Columns that stages read; others are carried under names that clash with nothing.
