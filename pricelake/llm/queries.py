@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, divergence, licenses, mixing, neardup, packing, quality, secrets, substrings, toxicity, warc
+from . import ann, collocations, decontamination, divergence, licenses, mixing, neardup, packing, quality, secrets, substrings, toxicity, warc
 from .common import held_out
 
 
@@ -65,9 +65,13 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": neardup.NEAR_SQL, "op5_warc": warc.WARC_SQL, "op6_substrings": substrings.CUT_SQL, "op10_mixing": mixing.MIX_SQL, "op11_divergence": divergence.DIVERGENCE_SQL, "op12_decontamination": decontamination.HIT_SQL}
+    return {"op4_near_duplicates": neardup.NEAR_SQL, "op5_warc": warc.WARC_SQL, "op6_substrings": substrings.CUT_SQL, "op10_mixing": mixing.MIX_SQL, "op11_divergence": divergence.DIVERGENCE_SQL, "op12_decontamination": decontamination.HIT_SQL, "op13_collocations": collocations.PHRASE_SQL}
