@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricelake.functions import columns as C
+from pricelake.operators import identity as N
 from pricelake.operators import search as P
 from pricelake.operators import series as S
-from pricelake.sources.inputs import listings, obs, table, with_views
+from pricelake.sources.inputs import listings, obs, runs, table, with_views
 
 from .registry import query
 from .series_queries import CENTS, TIME, r
@@ -183,7 +183,7 @@ def idn_1(spark, d):
 @query("udf_1_sequence_ratio")
 def udf_1(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", P.sequence_ratio(F.lower("p_name"), F.lower("p_brand")).alias("ratio"))
+    return p.select("p_partkey", N.sequence_ratio(F.lower("p_name"), F.lower("p_brand")).alias("ratio"))
 
 
 @query("top_2_best_matches")
@@ -192,22 +192,52 @@ def top_2(spark, d):
     return P.best_matches(h.drop("converted"), 2).select("query_id", "retailer", "item_id", "site_id", "score")
 
 
-@query("join_8_same_product")
+CLASSES = """one AS (SELECT DISTINCT item_id, title, trim(lower(brand)) AS brand, sku FROM listings),
+    t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g'), '[ ]+', ' ', 'g')) AS name,
+      list_filter(list_distinct(string_split_regex(lower(title), '[^a-z0-9]+')), lambda w : regexp_matches(w, '[0-9]')) AS models FROM one)"""
+
+
+@query(
+    "join_8_same_product",
+    # Every title has one or two model tokens, so the rule is decided before titles are compared.
+    sql(f"""{CLASSES}, p AS (SELECT a.item_id FROM t AS a JOIN t AS b ON a.item_id <> b.item_id AND a.brand = b.brand AND (a.sku = b.sku OR 2 * len(list_intersect(a.models, b.models)) >= least(len(a.models), len(b.models))))
+    SELECT t.item_id, t.item_id AS class_id, coalesce(n, 0) AS n_links FROM t LEFT JOIN (SELECT item_id, count(*) AS n FROM p GROUP BY item_id) AS q ON q.item_id = t.item_id"""),
+)
 def join_8(spark, d):
-    h = _arrivals(spark, d)
-    one = h.select("item_id", "title", "sku", "gtin", "brand").distinct()
-    return P.product_pairs(one, "item_id")
+    """Every part's title, its class and the number of classes that are the same product."""
+    one = listings(spark, d).select("item_id", "title", "sku", F.lit(None).cast("string").alias("gtin"), "brand").distinct()
+    return N.link_counts(*N.same_products(one, "item_id"))
+
+
+def _titles(spark, d):
+    """Every fact of a part as a listing of its own; only some name a model, some have a barcode, some no brand."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    plain = F.concat_ws(" ", "p_name", F.lower("p_type"), F.when(k % 3 == 0, F.concat(F.lit("m"), F.col("p_size").cast("string"))), F.when(k % 4 == 1, F.lit("deluxe")))
+    code = F.when(k % 7 == 0, F.lpad((k % 50).cast("string"), 12, "7"))
+    return p.select(k.alias("item_id"), plain.alias("title"), F.when(k % 5 == 0, F.concat(F.lit("s"), (k % 200).cast("string"))).alias("sku"), code.alias("gtin"), F.when(k % 2 == 0, F.col("p_brand")).alias("brand"))
+
+
+@query("join_8_similar_titles")
+def join_8_similar(spark, d):
+    """As JOIN-8 over titles that leave the answer to stock numbers, barcodes, containment and the ratio."""
+    return N.link_counts(*N.same_products(_titles(spark, d), "item_id"))
 
 
 def _queries(spark, d):
-    """A query for each brand: its name and the first of its parts'."""
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("query_id")).agg(F.concat_ws(" ", "p_brand", F.min("p_name")).alias("query"))
+    """A query for each part: its brand, name and model, searched in the stores of a nation."""
+    model = F.concat(F.lit("m"), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_brand", "p_name", model).alias("query"), (F.col("p_partkey") % 25).cast("string").alias("market"))
+
+
+def _markets(spark, d):
+    """The stores of each nation."""
+    return table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("market"), F.concat(F.lit("store"), F.col("s_suppkey").cast("string")).alias("retailer"))
 
 
 def _searched(spark, d, **options):
     h = _arrivals(spark, d).select("title", "retailer", "url", "price", "currency", "arrival", (F.col("price") * 1.25).alias("original_price"), F.col("item_id").cast("string").alias("product_key"))
     past = _past(spark, d).withColumn("product_key", F.col("item_id").cast("string"))
-    return P.search(_queries(spark, d), h, P.rate_table(spark), "USD", history=past, **options)
+    return P.search(_queries(spark, d), h, P.rate_table(spark), "USD", history=past, markets=_markets(spark, d), **options)
 
 
 @query("idn_2_search")
@@ -217,15 +247,18 @@ def idn_2(spark, d):
 
 @query("idn_2_expanded_search")
 def idn_2_expanded(spark, d):
-    """Later variants count only where earlier ones find fewer than forty hits; results by match."""
-    return _searched(spark, d, minimum=40, order="match").select("query_id", "retailer", "arrival", "score", "converted")
+    """Later variants count only where earlier ones find fewer than a hundred hits; results by match."""
+    return _searched(spark, d, minimum=100, order="match").select("query_id", "retailer", "arrival", "score", "converted")
 
 
 @query("idn_2_search_report")
 def idn_2_report(spark, d):
-    found = _searched(spark, d).withColumn("strategy", F.lit("store_api"))
-    shops = _arrivals(spark, d).select("retailer", F.lit("ok").alias("status")).distinct()
-    attempts = shops.crossJoin(F.broadcast(_queries(spark, d).select("query_id")))  # a row for each query that asks each shop
+    """Shops with hits of each query, and shops of its market whose newest run ended in an error or at a sign-up wall."""
+    found = _searched(spark, d).withColumn("strategy", F.col("currency"))
+    newest = S.latest(runs(spark, d), "site_id", ["fetched_at"])
+    end = F.col("content_token")
+    status = newest.select(F.concat(F.lit("store"), F.col("site_id").cast("string")).alias("retailer"), F.when(end == "signup", "blocked").when(end == "error", "error").otherwise("ok").alias("status"))
+    attempts = _queries(spark, d).select("query_id", "market").join(_markets(spark, d).join(status, "retailer"), "market")
     out = P.search_report(found, attempts)
     return out.select("query_id", "shops", *(F.array_join(c, ",").alias(c) for c in ("strategies", "blocked", "errored")))
 
@@ -233,9 +266,13 @@ def idn_2_report(spark, d):
 @query("idn_3_groups_by_key", sql(f"x AS (SELECT *, min(converted) OVER (PARTITION BY brand, sku) AS p, concat('sku:', lower(trim(brand)), ':', sku) AS g FROM hits) SELECT {ID}, dense_rank() OVER (PARTITION BY brand ORDER BY p NULLS LAST, g) AS group_no FROM x"))
 def idn_3(spark, d):
     h = hits(spark, d).withColumn("gtin", F.lit(None).cast("string"))
-    return P.groups_by_key(h, "brand").select(*IDS, "group_no")
+    return N.groups_by_key(h, "brand").select(*IDS, "group_no")
 
 
 @query("idn_3_groups_in_order")
 def idn_3_order(spark, d):
-    return P.groups_in_order(_arrivals(spark, d), "brand", ["item_id", "site_id"], 1)
+    """All listings of a brand in the order of arrival; titles name a model for some parts only."""
+    facts = _titles(spark, d).withColumn("query", F.lit("all"))
+    h = _arrivals(spark, d).select("item_id", "site_id", "arrival", "converted", F.col("brand").alias("query_id"))
+    h = h.join(facts, "item_id").withColumn("id", F.col("arrival"))
+    return N.groups_in_order(h, "query_id", "id").select("item_id", "site_id", "group_no", "member_no")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import columns as C
 from pricelake.operators import changes as G
+from pricelake.operators import identity as N
 from pricelake.operators import pages as X
-from pricelake.operators import search as P
 from pricelake.operators import series as S
 
 
@@ -88,14 +88,14 @@ def test_diff_duplicates_and_missing_keys(spark):
 
 def test_sequence_ratio(spark):
     pairs = [("abcd", "bcde"), ("", "x"), ("same", "same")]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", P.sequence_ratio("a", "b").alias("r")).collect()
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", N.sequence_ratio("a", "b").alias("r")).collect()
     assert all(r["r"] == difflib.SequenceMatcher(None, r["a"], r["b"]).ratio() for r in rows)
 
 
 def same(spark, a, b):
-    cols = ("title", "sku", "gtin", "brand")
-    lit = lambda d: {c: F.lit(d.get(c)).cast("string") for c in cols}
-    return one(spark, P.same_product(lit(a), lit(b)))
+    rows = spark.createDataFrame([(i, *(x.get(c) for c in ("title", "sku", "gtin", "brand"))) for i, x in enumerate((a, b))], "id int, title string, sku string, gtin string, brand string")
+    left, right = (rows.where(f"id = {i}").select(*N.identity_columns(p)) for i, p in enumerate("ab"))
+    return left.crossJoin(right).select(N.same_product("a", "b").alias("x")).first()["x"]
 
 
 def test_same_product(spark):
