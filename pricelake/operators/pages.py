@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,23 +178,6 @@ def walked_products(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.where(is_product(F.col("node"))).select(*keys, "place", *node_record(F.col("node")))
 
 
-def microdata_record(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """EXT-3: itemprops from the first Product scope on, or of the whole page without one; content, then href, then src, then text."""
-    quoted = lambda name, text: F.nullif(F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?is)\s{name}={q}([^{q}]*){q}", 1), F.lit("")) for q in "\"'")), F.lit(""))
-    from_scope = F.regexp_extract("html", r"""(?is)<[^>]*\sitemtype=["'][^"']*Product[^>]*>.*""", 0)
-    scope = F.when(from_scope != "", from_scope).otherwise(F.col("html"))
-
-    def prop(name: str) -> Column:
-        tag = F.regexp_extract("__scope", rf"""(?is)(<[^>]*\sitemprop=(?:"{name}"|'{name}')[^>]*>[^<]*)""", 1)
-        return F.coalesce(quoted("content", tag), quoted("href", tag), quoted("src", tag), F.nullif(F.trim(F.regexp_extract(tag, r"(?s)>([^<]*)$", 1)), F.lit("")))
-
-    found = pages.where(F.col("html").contains("itemprop=")).select(*keys, scope.alias("__scope"))
-    return found.select(
-        *keys, prop("name").alias("title"), C.number(prop("price")).alias("price"), prop("priceCurrency").alias("currency"), C.availability_label(prop("availability")).alias("availability"), prop("brand").alias("brand"),
-        prop("sku").alias("sku"), prop("image").alias("image"), C.number(prop("ratingValue")).alias("rating"), C.number(prop("reviewCount")).alias("review_count"),
-    )
-
-
 def metas(html: Column, names) -> Column:
     """The content of the first meta of one of the names that has any."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
@@ -268,14 +248,58 @@ def fallback_image(html: Column) -> Column:
     return F.coalesce(metas(html, ("og:image", "twitter:image")), F.nullif(F.regexp_extract(html, r'(?is)<img\b[^>]*\ssrc="([^"]*)"', 1), F.lit("")))
 
 
-def filled_gaps(records: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
-    """EXT-16: title, price, availability from fallbacks where the record has none, and which source each came from."""
+def filled_gaps(records: DataFrame, pages: DataFrame, keys: list[str], fields=("title", "price", "availability", "image")) -> DataFrame:
+    """EXT-16: requested fields from fallbacks where the record has none, and which source each came from.
+
+    The fallback's currency comes along with its price, where the record names none.
+    """
     h = F.col("html")
-    spare = pages.select(*keys, fallback_title(h).alias("f_title"), fallback_price(h)["amount"].alias("f_price"), fallback_stock(h).alias("f_availability"))
-    j = spare.join(records, keys, "left")
-    fields = ("title", "price", "availability")
-    source = lambda f: F.when(~missing(F.col(f)), "record").when(~missing(F.col(f"f_{f}")), "fallback").otherwise("none")
-    return j.select(*keys, *(F.when(~missing(F.col(f)), F.col(f)).otherwise(F.col(f"f_{f}")).alias(f) for f in fields), F.create_map(*(x for f in fields for x in (F.lit(f), source(f)))).alias("sources"))
+    price = fallback_price(h)
+    spare = {"title": fallback_title(h), "price": price["amount"], "availability": fallback_stock(h), "image": fallback_image(h)}
+    found = pages.select(*keys, *(spare[f].alias(f"f_{f}") for f in fields), price["currency"].alias("f_currency"))
+    j = found.join(records, keys, "left")
+    missed = lambda f: missing(F.col(f)) if f in records.columns else F.lit(True)
+    held = lambda f: F.col(f) if f in records.columns else F.lit(None)
+    fill = lambda f: F.when(~missed(f), held(f)).otherwise(F.col(f"f_{f}")).alias(f)
+    source = lambda f: F.when(~missed(f), "record").when(~missing(F.col(f"f_{f}")), "fallback").otherwise("none")
+    out = [fill(f) for f in fields]
+    if "price" in fields:
+        out.append(F.when(~missed("currency"), held("currency")).when(missed("price") & F.col("f_price").isNotNull(), F.col("f_currency")).alias("currency"))
+    return j.select(*keys, *out, F.create_map(*(x for f in fields for x in (F.lit(f), source(f)))).alias("sources"))
+
+
+# Fields that structured data adds to a record without being asked.
+EXTRAS = ("original_price", "currency", "brand", "sku", "gtin", "mpn", "review_count")
+
+
+def consensus_records(selected: DataFrame, structured: DataFrame, keys: list[str], fields: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
+    """EXT-12 for whole records, AGG-7: requested fields (name to kind) of selectors and structured data merged.
+
+    Returns keys, the fields, extras that only structured data has, discount_pct, confidences and
+    sources by field, confidence (of required fields, or all; the share of filled ones on pages without structured data) and quality.
+    """
+    known = structured.select(*keys, *(F.col(c).alias(f"t_{c}") for c in structured.columns if c not in keys), F.lit(True).alias("__known"))
+    j = selected.join(known, keys, "left")
+    blank = F.lit(None).cast("string")
+    own = lambda f: F.col(f) if f in selected.columns else blank
+    theirs = lambda f: F.col(f"t_{f}") if f in structured.columns else blank
+    for f, kind in fields.items():
+        j = j.withColumn(f"__{f}", consensus(own(f), theirs(f), kind, f))
+    number = lambda f, kind, c: C.number(c) if kind in ("price", "number") else c
+    merged = {f: number(f, kind, F.col(f"__{f}.value")) for f, kind in fields.items()}
+    extras = {f: F.coalesce(F.nullif(own(f).cast("string"), F.lit("")), F.nullif(theirs(f).cast("string"), F.lit(""))) for f in EXTRAS if f not in fields}
+    original = merged["original_price"] if "original_price" in merged else C.number(extras["original_price"])
+    off = C.discount_percent(original, merged["price"]) if "price" in merged else F.lit(None).cast("double")
+    names = list(required or fields)
+    mean = rounded(sum(F.col(f"__{f}.confidence") for f in names) / len(names), 3)
+    share = rounded(sum((~missing(own(f))).cast("int") for f in names) / len(names), 3)
+    is_known = F.col("__known").isNotNull()
+    told = {f: F.when(is_known, F.col(f"__{f}.source")) for f in fields}
+    told |= {f: F.when(is_known & missing(own(f)) & ~missing(theirs(f)), "structured") for f in extras}
+    sources = F.map_filter(F.create_map(*(x for f, s in told.items() for x in (F.lit(f), s))), lambda _, s: s.isNotNull())
+    confidences = F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"__{f}.confidence"))))
+    out = j.select(*keys, *(c.alias(f) for f, c in {**merged, **extras}.items()), off.alias("discount_pct"), F.when(is_known, confidences).alias("confidences"), sources.alias("sources"), F.when(is_known, mean).otherwise(share).alias("confidence"))
+    return out.withColumn("quality", C.quality_label(F.col("confidence"), F.col("sources")))
 
 
 def consensus(value: Column, structured: Column, kind: str, field: str) -> Column:
@@ -319,105 +343,6 @@ def detected_schema(url: Column, html: Column) -> Column:
     return F.coalesce(F.when((schema == "product") & cards, "product_list").otherwise(schema), by_kind, F.when(cards, "product_list"), by_url, F.lit("product"))
 
 
-class _Elements(HTMLParser):
-    """Collects elements with tag, classes, id, attributes and text; just enough for tag, .class, #id and [attr] selectors."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self):
-        super().__init__()
-        self.found: list[dict] = []
-        self.open: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": dict(attrs), "text": [], "end": len(self.found) + 1}
-        self.found.append(node)
-        if tag not in self.VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                self._shut(i)
-                break
-
-    def close(self):
-        super().close()
-        self._shut(0)
-
-    def _shut(self, first: int) -> None:
-        """Ends open elements: what was found since stands inside them."""
-        for node in self.open[first:]:
-            node["end"] = len(self.found)
-        del self.open[first:]
-
-    def handle_data(self, data):
-        for node in self.open:
-            node["text"].append(data)
-
-
-def _matches(node: dict, selector: str) -> bool:
-    attrs = node["attrs"]
-    if selector.startswith("."):
-        return selector[1:] in (attrs.get("class") or "").split()
-    if selector.startswith("#"):
-        return attrs.get("id") == selector[1:]
-    if selector.startswith("["):
-        name, _, value = selector[1:-1].partition("=")
-        return name in attrs and (not value or attrs[name] == value.strip("\"'"))
-    return node["tag"] == selector
-
-
-def by_selectors(pages: DataFrame, key: str, fields: list[dict], item_selector: str | None = None) -> DataFrame:
-    """EXT-9: a record for each item (or page): key, item, field, value; fields hold name, selector, attribute and may hold rank.
-
-    The value is the attribute, or the element's text where none is named.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, html in zip(batch[key], batch["html"], strict=True):
-                parser = _Elements()
-                parser.feed(html or "")
-                parser.close()
-                found = parser.found
-                # Places of the elements that each selector matches; an item is a range of places.
-                places = {sel: [k for k, e in enumerate(found) if _matches(e, sel)] for sel in {f["selector"] for f in fields}}
-                items = [(k, e["end"]) for k, e in enumerate(found) if _matches(e, item_selector)] if item_selector else [(0, len(found))]
-                for i, (start, end) in enumerate(items):
-                    for f in fields:
-                        at = places[f["selector"]]
-                        first, last = bisect_left(at, start), bisect_left(at, end)
-                        value = None
-                        if first < last:
-                            hit, attribute = found[at[first]], f.get("attribute")
-                            value = hit["attrs"].get(attribute) if attribute else " ".join("".join(hit["text"]).split())
-                        rows.append((page, i, f["name"], f["selector"], f.get("rank", 0), value, last - first))
-            yield pd.DataFrame(rows, columns=[key, "item", "field", "selector", "rank", "value", "hits"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, item int, field string, selector string, rank int, value string, hits int")
-
-
-def elected_selectors(pages: DataFrame, key: str, host: Column, candidates: list[dict]) -> DataFrame:
-    """EXT-10: for every host and field, the first candidate selector (by rank) that matches in its pages."""
-    tried = by_selectors(pages, key, candidates)
-    hosts = pages.select(key, host.alias("host"))
-    return tried.join(hosts, key).groupBy("host", "field").agg(F.min_by("selector", F.when(F.col("hits") > 0, F.col("rank"))).alias("selector")).where("selector IS NOT NULL")
-
-
-def healed(pages: DataFrame, key: str, host: Column, cached: DataFrame, candidates: list[dict], required: list[str]) -> DataFrame:
-    """EXT-11: selectors after re-election on hosts where the cached ones fill the required fields of no page; healed tells which."""
-    tried = by_selectors(pages, key, candidates).join(pages.select(key, host.alias("host")), key)
-    used = tried.join(cached.select("host", "field", "selector"), ["host", "field", "selector"])
-    full = used.where(F.col("field").isin(*required) & ~missing(F.col("value"))).groupBy("host", key).agg(F.countDistinct("field").alias("n"))
-    fine = full.where(F.col("n") >= len(required)).select("host").distinct()
-    broken = pages.select(host.alias("host")).distinct().join(fine, "host", "left_anti")
-    new = tried.join(broken, "host", "left_semi").groupBy("host", "field").agg(F.min_by("selector", F.when(F.col("hits") > 0, F.col("rank"))).alias("selector")).where("selector IS NOT NULL").withColumn("healed", F.lit(True))
-    return cached.select("host", "field", "selector").join(broken, "host", "left_anti").withColumn("healed", F.lit(False)).unionByName(new)
-
-
 def golden_checks(expected: DataFrame, extracted: DataFrame, keys: list[str]) -> DataFrame:
     """JOIN-9: for each expected (keys, field, want), whether the extracted value (got) fits: numbers within 0.01, stock by meaning, text contained."""
     j = expected.join(extracted, [*keys, "field"], "left")

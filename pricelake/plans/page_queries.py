@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricelake.functions.columns import number, rounded
+from pricelake.operators import elements as E
 from pricelake.operators import pages as X
 from pricelake.operators.tables import archived, latest_pages
 from pricelake.sources.inputs import list_pages, product_pages, table
@@ -32,7 +33,7 @@ def ext_2(spark, d):
 
 @query("ext_3_microdata_record", part_sql(f"p_name AS title, {PRICE} AS price, 'USD' AS currency, {STOCK} AS availability, trim(p_brand) AS brand", "p_partkey % 3 = 1"))
 def ext_3(spark, d):
-    return X.microdata_record(product_pages(spark, d), K).select("page_id", "title", "price", "currency", "availability", "brand")
+    return E.microdata_record(product_pages(spark, d), K).select("page_id", "title", "price", "currency", "availability", "brand")
 
 
 @query("ext_4_opengraph_record", part_sql(f"p_name AS title, {PRICE} AS price, 'USD' AS currency, trim(p_brand) AS brand, concat('/i/', p_partkey, '.jpg') AS image", "p_partkey % 3 = 2"))
@@ -95,13 +96,51 @@ SPEC = [{"name": "title", "selector": "h1"}, {"name": "price", "selector": ".pri
 
 @query("ext_9_by_selectors", part_sql("'title' AS field, p_name AS value") + " UNION ALL " + f"SELECT p_partkey, 'price', CASE WHEN p_partkey % 3 = 0 THEN concat('$', CAST(CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) // 100 AS VARCHAR), '.', lpad(CAST(CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0')) END FROM part")
 def ext_9(spark, d):
-    return X.by_selectors(product_pages(spark, d), "page_id", SPEC).select("page_id", "field", "value")
+    return E.by_selectors(product_pages(spark, d), "page_id", SPEC).select("page_id", "field", "value")
 
 
 @query("ext_9_items_by_selectors", "SELECT trim(p_brand) AS page, 'name' AS field, p_name AS value FROM part UNION ALL SELECT trim(p_brand), 'link', concat('/item/', p_partkey) FROM part")
 def ext_9_items(spark, d):
     spec = [{"name": "name", "selector": ".name"}, {"name": "link", "selector": "a", "attribute": "href"}]
-    return X.by_selectors(_lists(spark, d), "page", spec, ".product-card").select("page", "field", "value")
+    return E.by_selectors(_lists(spark, d), "page", spec, ".product-card").select("page", "field", "value")
+
+
+_PLAIN = "concat(CAST(CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) // 100 AS VARCHAR), '.', lpad(CAST(CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0'))"
+
+
+def _money():
+    cents = F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long")
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def _estates(spark, d):
+    """A page for each brand that lists its parts as places for sale, in four kinds of elements; links without an address, nested names."""
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    link = F.when(k < 2, F.concat(F.lit('<a href="/p/'), key, F.lit('">'))).otherwise(F.lit("<a>"))
+    body = F.concat(F.when(k == 3, F.lit("<h3>")).otherwise(F.lit("<h2 class='x head'>")), link, F.lit(" <b>"), F.col("p_name"), F.lit("</b> </a></h2></h3><span data-price='"), _money(), F.lit("'>no number</span><i class=stock>"), F.when(F.col("p_size") % 2 == 0, "In stock").otherwise("yes"), F.lit("</i>"))
+    opened = F.when(k == 0, '<div class="big listing">').when(k == 1, "<div class='property-card'>").when(k == 2, "<article>").otherwise("<section id=s><div class=result>")
+    closed = F.when(k == 2, "</article>").when(k == 3, "</div></section>").otherwise("</div>")
+    card = F.struct(F.col("p_partkey").alias("key"), F.concat(opened, body, closed).alias("html"))
+    g = table(spark, d, "part").groupBy(F.trim("p_brand").alias("page")).agg(F.sort_array(F.collect_list(card)).alias("cards"))
+    return g.select("page", F.concat(F.lit("https://homes.test/"), "page").alias("url"), F.concat(F.lit("<html><head><title>x</title></head><body><h2><a>not in an item</a></h2><hr>"), F.array_join(F.col("cards.html"), "<br>"), F.lit("</body></html>")).alias("html"))
+
+
+ESTATE = [
+    {"name": "title", "selector": "h2.head a, h3 > a"}, {"name": "price", "selector": "[data-price]", "attribute": "data-price", "kind": "price"}, {"name": "url", "selector": "a", "attribute": "href", "kind": "url"},
+    {"name": "stock", "selector": "i.stock", "kind": "bool"}, {"name": "deep", "selector": "section#s div[class^=res] h3 b, .listing[class$=listing] b"}, {"name": "none", "selector": "div > b"},
+]
+
+
+@query(
+    "ext_9_preset_items",
+    f"""WITH p AS (SELECT *, trim(p_brand) AS page, row_number() OVER (PARTITION BY trim(p_brand) ORDER BY p_partkey) - 1 AS item FROM part)
+    SELECT page, CAST(item AS INTEGER) AS item, field, CASE field WHEN 'title' THEN p_name WHEN 'price' THEN {_PLAIN} WHEN 'url' THEN CASE WHEN p_partkey % 4 < 2 THEN concat('/p/', p_partkey) ELSE p_name END
+      WHEN 'stock' THEN CASE WHEN p_size % 2 = 0 THEN 'In stock' ELSE 'yes' END WHEN 'deep' THEN CASE WHEN p_partkey % 4 IN (0, 3) THEN p_name END END AS value,
+      CASE field WHEN 'price' THEN {PRICE} END AS number, CASE field WHEN 'stock' THEN true END AS flag FROM p, (VALUES ('title'), ('price'), ('url'), ('stock'), ('deep'), ('none')) AS t(field)""",
+)
+def ext_9_preset(spark, d):
+    """The ready-made item selector of places for sale; lists, descendants, children, parts of attributes, text for absent attributes, typed values."""
+    return E.by_selectors(_estates(spark, d), "page", ESTATE, E.PRESET_ITEMS["real_estate"]).select("page", "item", "field", "value", "number", "flag")
 
 
 CANDIDATES = [{"name": "price", "selector": ".price", "rank": 0}, {"name": "price", "selector": "[itemprop=price]", "attribute": "content", "rank": 1}, {"name": "price", "selector": ".cost", "rank": 2}, {"name": "title", "selector": "h2", "rank": 0}, {"name": "title", "selector": "h1", "rank": 1}]
@@ -116,7 +155,7 @@ ELECTED = "SELECT * FROM (VALUES ('h0', 'price', '.price'), ('h1', 'price', '[it
 
 @query("ext_10_elected_selectors", ELECTED)
 def ext_10(spark, d):
-    return X.elected_selectors(product_pages(spark, d), "page_id", _host(), CANDIDATES)
+    return E.elected_selectors(product_pages(spark, d), "page_id", _host(), CANDIDATES)
 
 
 @query("ext_11_healed_selectors", "SELECT host, field, selector, host <> 'h0' AS healed FROM (" + ELECTED + ") AS e")
@@ -124,7 +163,80 @@ def ext_11(spark, d):
     p = product_pages(spark, d)
     hosts = p.select(_host().alias("host")).distinct()
     cached = hosts.select("host", F.lit("price").alias("field"), F.lit(".price").alias("selector")).unionByName(hosts.select("host", F.lit("title").alias("field"), F.lit("h1").alias("selector")))
-    return X.healed(p, "page_id", _host(), cached, CANDIDATES, ["title", "price"])
+    return E.healed(p, "page_id", _host(), cached, CANDIDATES, ["title", "price"])
+
+
+WANTED = [{"name": "title", "description": "the name", "kind": "text"}, {"name": "cost", "kind": "price"}, {"name": "link", "kind": "url"}, {"name": "code", "selector": ".none"}]
+
+
+def _shops(spark, d):
+    """Pages of a hundred parts at most, of five hosts with different markup: two kinds of cards, one card a page, items with types, and none."""
+    h = (F.col("p_partkey") % 5).cast("int")
+    name, price = F.col("p_name"), F.concat(F.lit("$"), _money())
+    cards = F.array(
+        F.concat(F.lit('<div class="product-card"><h3><a href="/a">'), name, F.lit('</a></h3><p class="cost">'), price, F.lit("</p></div>")),
+        F.concat(F.lit('<li class="product"><h2>'), name, F.lit('</h2><b data-price="'), _money(), F.lit('"></b><a class="product-link" href="/a">x</a></li>')),
+        F.concat(F.lit('<h1 class="title">'), name, F.lit('</h1><p class="price">'), price, F.lit("</p>")),
+        F.concat(F.lit('<div itemtype="https://schema.org/Product"><i itemprop="name">'), name, F.lit('</i><i itemprop="price" content="'), _money(), F.lit('"></i></div>')),
+        F.concat(F.lit("<p>"), name, F.lit("</p>")),
+    )
+    rows = table(spark, d, "part").select("p_partkey", h.alias("h"), F.when(h == 2, F.col("p_partkey")).otherwise(F.floor(F.col("p_partkey") / 500)).cast("long").alias("n"), F.element_at(cards, h + 1).alias("card"))
+    pages = rows.groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "card"))).alias("cards"))
+    return pages.select(F.concat_ws("-", "h", "n").alias("page"), F.concat(F.lit("h"), F.col("h").cast("string")).alias("host"), F.concat(F.lit("<body><h1>Shop</h1><div>"), F.array_join(F.col("cards.card"), ""), F.lit("</div></body>")).alias("html"))
+
+
+@query("ext_10_elected_containers", "SELECT * FROM (VALUES ('h0', '.product-card'), ('h1', 'li.product'), ('h3', '[itemtype*=''Product'']')) AS t(host, item_selector) WHERE host IN (SELECT concat('h', p_partkey % 5) FROM part GROUP BY p_partkey % 5, p_partkey // 500 HAVING count(*) > 1)")
+def ext_10_containers(spark, d):
+    return E.Election(_shops(spark, d), ["page"], F.col("host"), E.candidates(WANTED)).containers
+
+
+HINTED = """VALUES ('h0', 'title', 'h3', NULL), ('h0', 'cost', '.cost', NULL), ('h0', 'link', 'h3 a', 'href'), ('h1', 'title', 'h2', NULL), ('h1', 'cost', '[data-price]', 'data-price'), ('h1', 'link', 'a.product-link', 'href'),
+    ('h2', 'title', 'h1.title', NULL), ('h2', 'cost', '.price', NULL), ('h3', 'title', '[itemprop="name"]', NULL), ('h3', 'cost', '[itemprop="price"]', 'content'), ('h4', 'title', 'h1', NULL)"""
+
+
+@query("ext_10_hinted_selectors", f"SELECT * FROM ({HINTED}) AS t(host, field, selector, attribute) WHERE host IN (SELECT concat('h', p_partkey % 5) FROM part)")
+def ext_10_hinted(spark, d):
+    """Fields without selectors, tried by what they are about, inside the elected items."""
+    return E.Election(_shops(spark, d), ["page"], F.col("host"), E.candidates(WANTED)).selectors().select("host", "field", "selector", "attribute")
+
+
+@query(
+    "ext_11_extracted_by_election",
+    f"""SELECT concat_ws('-', p_partkey % 5, CASE WHEN p_partkey % 5 = 2 THEN p_partkey ELSE p_partkey // 500 END) AS page, p_name AS title, {PRICE} AS cost FROM part WHERE p_partkey % 5 < 4""",
+)
+def ext_11_extracted(spark, d):
+    """A record for each item of the elected containers, by the elected selectors."""
+    e = E.Election(_shops(spark, d), ["page"], F.col("host"), E.candidates(WANTED))
+    rows = e.extracted(e.selectors()).groupBy("page", "item")
+    records = rows.agg(F.max(F.when(F.col("field") == "title", F.col("value"))).alias("title"), F.max(F.when(F.col("field") == "cost", F.col("number"))).alias("cost"))
+    return records.where("cost IS NOT NULL").select("page", "title", "cost")
+
+
+@query("ext_3_ended_scope", part_sql("p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN concat('s', p_partkey) END AS sku, 'Shop' AS brand"))
+def ext_3_ended(spark, d):
+    """A scope nested in the product's, and one after it whose properties are not the product's; without a product scope on every third page."""
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    inner = F.concat(F.lit("<b itemprop=name> "), "p_name", F.lit(" </b><div itemscope itemprop='brand' content='Shop'></div>"), F.when(k % 2 == 0, F.concat(F.lit("<i itemprop='sku'>s"), key, F.lit("</i>"))).otherwise(F.lit("")))
+    after = F.lit('<div itemscope itemtype="https://schema.org/Organization"><i itemprop="sku">other</i><i itemprop="rating">1</i></div>')
+    html = F.when(k % 3 == 0, F.concat(F.lit("<p>"), inner, F.lit("</p>"))).otherwise(F.concat(F.lit("<i itemprop=sku>before</i><div itemscope itemtype='https://schema.org/Product'>"), inner, F.lit("</div>"), after))
+    pages = table(spark, d, "part").select(k.alias("page_id"), html.alias("html"))
+    return E.microdata_record(pages, K).select("page_id", "title", "sku", "brand")
+
+
+@query(
+    "ext_12_consensus_records",
+    f"""SELECT p_partkey AS page_id, p_name AS title, {PRICE} AS price, CASE WHEN p_partkey % 4 < 3 THEN 'ACME' END AS brand, CASE WHEN p_partkey % 4 < 3 THEN 50.0 END AS discount_pct,
+    CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.85 ELSE 1.0 END AS confidence, CASE p_partkey % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'inferred' WHEN 2 THEN 'verified' ELSE 'high' END AS quality,
+    CASE p_partkey % 4 WHEN 0 THEN 'both' WHEN 1 THEN 'both' WHEN 2 THEN 'structured' END AS price_source, CASE WHEN p_partkey % 4 < 3 THEN 'structured' END AS brand_source FROM part""",
+)
+def ext_12_records(spark, d):
+    """Selectors that agree, differ or find no price, and pages without structured data."""
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    price = F.floor(F.col("p_retailprice") * 100 + 0.5) / 100
+    seen = p.select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), F.when(k == 1, F.lit(1.0)).when(k != 2, price).alias("price"))
+    known = p.where(k < 3).select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), price.alias("price"), F.lit("ACME").alias("brand"), (price * 2).alias("original_price"))
+    out = X.consensus_records(seen, known, K, {"title": "text", "price": "price"})
+    return out.select("page_id", "title", "price", "brand", "discount_pct", "confidence", "quality", F.col("sources")["price"].alias("price_source"), F.col("sources")["brand"].alias("brand_source"))
 
 
 @query(
@@ -168,6 +280,14 @@ def ext_16(spark, d):
     return out.select("page_id", "title", "price", "availability", F.element_at("sources", "title").alias("title_source"))
 
 
+@query("ext_16_requested_fields", part_sql(f"{PRICE} AS price, CASE p_partkey % 3 WHEN 1 THEN NULL ELSE 'USD' END AS currency, CASE WHEN p_partkey % 3 = 2 THEN concat('/i/', p_partkey, '.jpg') END AS image, CASE WHEN p_partkey % 3 = 2 THEN 'fallback' ELSE 'none' END AS image_source"))
+def ext_16_requested(spark, d):
+    """Price with its currency, and image, for records without anything."""
+    p = product_pages(spark, d)
+    out = X.filled_gaps(p.select("page_id", F.lit(None).cast("string").alias("brand")), p, K, ("price", "image"))
+    return out.select("page_id", "price", "currency", "image", F.element_at("sources", "image").alias("image_source"))
+
+
 def _kinds(spark, d):
     """A page for each part in one of eleven forms, each of which another rule of schema detection decides."""
     k = (F.col("p_partkey") % 11).cast("int")
@@ -226,7 +346,7 @@ def ext_3_scoped(spark, d):
     p = table(spark, d, "part")
     html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">Shop Inc</b></div><div itemscope itemtype="https://schema.org/Product"><b itemprop="name">'), "p_name", F.lit('</b><i itemprop="price" content="'), F.round("p_retailprice", 2).cast("string"), F.lit('"></i><i itemprop="ratingValue">4.5</i><i itemprop="reviewCount">12</i></div>'))
     pages = p.select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_partkey") % 2 == 0, html).otherwise(F.translate(html, '"', "'")).alias("html"))
-    return X.microdata_record(pages, K).select("page_id", "title", "price", "rating", "review_count")
+    return E.microdata_record(pages, K).select("page_id", "title", "price", "rating", "review_count")
 
 
 @query("ext_5_deep_and_subtyped", part_sql("p_name AS title, concat('m', p_partkey) AS mpn, CASE p_partkey % 2 WHEN 0 THEN 'http://schema.org/Product' ELSE 'IndividualProduct' END AS kind"))
@@ -251,12 +371,12 @@ def set_1(spark, d):
 @query("set_2_first_source", part_sql(f"p_name AS title, {PRICE} AS price, 'USD' AS currency, CASE WHEN p_partkey % 3 < 2 THEN {STOCK} END AS availability, trim(p_brand) AS brand"))
 def set_2(spark, d):
     p = product_pages(spark, d)
-    return X.first_source([X.jsonld_record(p, K), X.microdata_record(p, K), X.opengraph_record(p, K)], K)
+    return X.first_source([X.jsonld_record(p, K), E.microdata_record(p, K), X.opengraph_record(p, K)], K)
 
 
 def _checks(spark, d):
     p = product_pages(spark, d)
-    got = X.first_source([X.jsonld_record(p, K), X.microdata_record(p, K), X.opengraph_record(p, K)], K)
+    got = X.first_source([X.jsonld_record(p, K), E.microdata_record(p, K), X.opengraph_record(p, K)], K)
     pairs = lambda df, t, c, a, name: df.select("page_id", F.explode(F.create_map(F.lit("title"), t, F.lit("price"), c, F.lit("availability"), a)).alias("field", name))
     part = table(spark, d, "part").withColumn("page_id", F.col("p_partkey"))
     want = pairs(part, F.col("p_name"), rounded(F.col("p_retailprice"), 2).cast("string"), F.when(F.col("p_size") % 2 == 0, "in stock").otherwise("sold out"), "want")
