@@ -7,14 +7,19 @@ in time order, ties included. Each operator shuffles once on its key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricelake.functions.columns import in_stock, rounded, watch_status
+from pricelake.functions.columns import in_stock, quality_label, rounded, watch_status
 from pricelake.functions.running import Past
+from pricelake.sources.scratch import numbered, written
+
+#: Rows of one key whose distinct values an aggregation may hold at once.
+HELD = 1_000_000
 
 
 def by(keys, order=None):
@@ -83,10 +88,50 @@ def scaled(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
     return df.withColumn("x", x).withColumn("y", (F.col(value) - low) / F.when(high > low, high - low).otherwise(1.0)).withColumn("trend", trend)
 
 
-def deal_percent(df: DataFrame, value: str, key) -> DataFrame:
+def large_medians(df: DataFrame, value: str, keys: list[str], held: int = HELD) -> DataFrame | None:
+    """Keys with more than held known values, and their exact medians (__median); None if there are none.
+
+    median() holds a counter for every distinct value of a key. Of large keys, values are put in order over
+    many tasks instead, and the ones at the two middle places are read.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    if known.limit(held + 1).count() <= held:
+        return None
+    sizes = written(known.groupBy(*keys).agg(F.count("*").alias("__size")).where(F.col("__size") > held), "large")
+    if not sizes.limit(1).count():
+        return None
+    names = [f"__k{i}" for i in range(len(keys))]
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    facts = sizes.toDF(*names, "__size")
+    # Equal values are told apart by a number of their own, so that a key's many equal values lie in several tasks.
+    rows = known.join(facts, same).select(*keys, "__v", "__size", F.monotonically_increasing_id().alias("__i"))
+    place = numbered(written(rows, "values"), keys, ["__v", "__i"], "__n")
+    middle = place.where((F.col("__n") == F.floor((F.col("__size") + 1) / 2)) | (F.col("__n") == F.floor(F.col("__size") / 2) + 1))
+    return middle.groupBy(*keys).agg(F.avg("__v").alias("__median"))
+
+
+def with_medians(df: DataFrame, value: str, keys: list[str], held: int = HELD) -> tuple[DataFrame, Column]:
+    """df with what it needs so that the column returned is, over its keys, the median of value."""
+    large = large_medians(df, value, keys, held)
+    if large is None:
+        return df, F.col(value)
+    names = [f"__k{i}" for i in range(len(keys))]
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    marked = df.join(large.toDF(*names, "__median"), same, "left").drop(*names)
+    # A large key has one value to hold, its median.
+    return marked, F.coalesce("__median", value)
+
+
+def deal_percent(df: DataFrame, value: str, key, held: int = HELD) -> DataFrame:
     """WIN-8: percent below the median of the group."""
-    middle = F.median(value).over(by(key))
-    return df.withColumn("deal_pct", F.when(middle > 0, rounded((middle - F.col(value)) / middle * 100, 1)))
+    keys = [key] if isinstance(key, str) else list(key)
+    rows, middle_of = with_medians(df, value, keys, held)
+    medians = rows.groupBy(*keys).agg(F.median(middle_of).alias("__middle"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    j = df.join(medians.toDF(*names, "__middle"), same, "left")
+    off = F.when(F.col("__middle") > 0, rounded((F.col("__middle") - F.col(value)) / F.col("__middle") * 100, 1))
+    return j.withColumn("deal_pct", off).drop("__middle", *names)
 
 
 def numeric_series(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
@@ -142,18 +187,18 @@ def availability_stats(df: DataFrame, text: str, key, order: list[str]) -> DataF
     return steps.groupBy(*keys).agg(F.count("*").alias("samples"), share.alias("in_stock_pct"), restock.alias("restocks"), F.max_by("__in", F.struct(*order)).alias("in_stock"))
 
 
-def history_stats(df: DataFrame, value: str, key, since: Column | None = None, at: str = "seen_at") -> DataFrame:
+def history_stats(df: DataFrame, value: str, key, since: Column | None = None, at: str = "seen_at", held: int = HELD) -> DataFrame:
     """AGG-5: count, low, high, avg, median of a product's prices in all stores since a time."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = df if since is None else df.where(F.col(at) >= since)
+    rows, middle = with_medians(df if since is None else df.where(F.col(at) >= since), value, keys, held)
     cents = F.sum(F.floor(F.col(value) * 100 + 0.5))
-    return rows.groupBy(*keys).agg(F.count("*").alias("count"), rounded(F.min(value), 2).alias("low"), rounded(F.max(value), 2).alias("high"), rounded(cents / F.count("*") / 100, 2).alias("avg"), rounded(F.median(value), 2).alias("median"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("count"), rounded(F.min(value), 2).alias("low"), rounded(F.max(value), 2).alias("high"), rounded(cents / F.count("*") / 100, 2).alias("avg"), rounded(F.median(middle), 2).alias("median"))
 
 
-def price_summary(df: DataFrame, value: str, key) -> DataFrame:
+def price_summary(df: DataFrame, value: str, key, held: int = HELD) -> DataFrame:
     """AGG-6: min, max, avg, median, savings and count over known prices."""
     keys = [key] if isinstance(key, str) else list(key)
-    g = history_stats(df.where(F.col(value).isNotNull()), value, keys)
+    g = history_stats(df.where(F.col(value).isNotNull()), value, keys, held=held)
     return g.select(*keys, F.col("low").alias("min"), F.col("high").alias("max"), "avg", "median", rounded(F.col("high") - F.col("low"), 2).alias("savings"), "count")
 
 
@@ -164,17 +209,48 @@ def site_health(sites: DataFrame, runs: DataFrame) -> DataFrame:
     return j.select("id", "url", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "heals", "llm_runs")), "confidence")
 
 
-def watchlist(sites: DataFrame, points: DataFrame, value: str, stock: str, order: list[str]) -> DataFrame:
-    """WIN-9: a row for each site with prices, movement, stock, statistics, deal score and status."""
-    order_desc = [F.col(c).desc() for c in order]
-    n = F.row_number().over(by("site_id", order_desc))
-    last_two = points.withColumn("__n", n).where("__n <= 2").groupBy("site_id").agg(F.max(F.when(F.col("__n") == 1, F.col(value))).alias("current_price"), F.max(F.when(F.col("__n") == 2, F.col(value))).alias("previous_price"), F.max(F.when(F.col("__n") == 1, F.col(stock))).alias("availability"))
-    insights = price_insights(points, value, "site_id", order).select("site_id", "count", "low", "high", "avg")
-    j = sites.join(last_two, sites["id"] == last_two["site_id"], "left").drop("site_id").join(insights, sites["id"] == insights["site_id"], "left").drop("site_id")
-    scores = deal_scores(points, value, "site_id", order)
-    j = j.join(scores, j["id"] == scores["site_id"], "left").drop("site_id").withColumn("in_stock", in_stock("availability"))
-    move = F.when(F.col("previous_price") != 0, rounded((F.col("current_price") - F.col("previous_price")) / F.col("previous_price") * 100, 1))
-    return j.withColumn("movement", move).withColumn("status", watch_status(F.col("current_price"), F.col("in_stock"), F.col("previous_price"), F.col("target_price")))
+def recent_history(hits: DataFrame, points: DataFrame, key: str, day: str, value: str, days: int) -> DataFrame:
+    """JOIN-3: hits (key, day) with hist_count, hist_low, hist_avg of the points (key, day) in the days before their own.
+
+    Points become a row for each key and day first, so a key has as many rows as the calendar has days,
+    however many points it has; the frame then runs over days.
+    """
+    cents = F.floor(F.col(value) * 100 + 0.5).cast("long")
+    daily = points.where(F.col(value).isNotNull()).groupBy(key, day).agg(F.count("*").alias("__n"), F.min(value).alias("__low"), F.sum(cents).alias("__cents"))
+    asked = hits.select(key, day).distinct().where(f"{key} IS NOT NULL AND {day} IS NOT NULL")
+    both = daily.unionByName(asked, allowMissingColumns=True).withColumn("__day", F.unix_date(F.to_date(day)))
+    before = Window.partitionBy(key).orderBy("__day").rangeBetween(-days, -1)
+    n, total = F.sum("__n").over(before), F.sum("__cents").over(before)
+    ahead = both.select(key, day, "__n", n.alias("hist_count"), rounded(F.min("__low").over(before), 2).alias("hist_low"), rounded(total / n / 100, 2).alias("hist_avg")).where("__n IS NULL").drop("__n")
+    return hits.join(ahead, [key, day], "left")
+
+
+def watchlist(sites: DataFrame, runs: DataFrame, records: DataFrame, points: DataFrame, order: list[str]) -> DataFrame:
+    """WIN-9: a row for each site with the first record of its newest run, what changed since the run before, the
+    statistics of that record's item, and how far the run can be trusted.
+
+    sites: id, url, target_price; runs: site_id, run_id, fetched_at, confidence, field_sources (JSON);
+    records: site_id, run_id, place, item_key, title, price, currency, availability; points: site_id, item_key, price and order.
+    """
+    newest = runs.select("site_id", "run_id", "fetched_at", "confidence", "field_sources").withColumn("__n", F.row_number().over(by("site_id", [F.desc("fetched_at"), F.desc("run_id")]))).where("__n <= 2")
+    fields = ["item_key", "title", "price", "currency", "availability"]
+    # The first record of each run is found before runs meet, by partial sums.
+    heads = records.groupBy("site_id", "run_id").agg(F.min_by(F.struct(*fields), "place").alias("r"))
+    last = newest.join(heads, ["site_id", "run_id"], "left")
+    at = lambda n, c: F.max(F.when(F.col("__n") == n, F.col(c)))
+    current = last.groupBy("site_id").agg(*(at(1, f"r.{f}").alias(f) for f in fields), at(2, "r.price").alias("prev_price"), at(1, "confidence").alias("confidence"), at(1, "field_sources").alias("__sources"), at(1, "fetched_at").alias("last_checked"))
+    current = written(current, "current")
+    own = points.join(current.select("site_id", "item_key"), ["site_id", "item_key"], "left_semi")
+    insights = price_insights(own, "price", "site_id", order).select("site_id", "low", "high", "avg", "pct_vs_avg", "is_all_time_low")
+    scores = deal_scores(own, "price", "site_id", order)
+    j = sites.join(current, sites["id"] == current["site_id"], "left").drop("site_id")
+    for facts in (insights, scores):
+        j = j.join(facts, j["id"] == facts["site_id"], "left").drop("site_id")
+    move = F.when(F.col("prev_price") != 0, rounded((F.col("price") - F.col("prev_price")) / F.col("prev_price") * 100, 1))
+    j = j.withColumn("field_sources", F.coalesce(F.from_json("__sources", "map<string,string>"), F.create_map().cast("map<string,string>"))).drop("__sources")
+    j = j.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.col("item_key").cast("string"))).withColumn("in_stock", in_stock("availability")).withColumn("change_pct", move)
+    j = j.withColumn("quality", F.when(F.col("last_checked").isNotNull(), quality_label(F.col("confidence"), F.col("field_sources"))))
+    return j.withColumn("deal_score", F.coalesce("deal_score", F.lit(0))).withColumn("status", watch_status(F.col("price"), F.col("in_stock"), F.col("prev_price"), F.col("target_price")))
 
 
 def best_deal_note(hits: DataFrame, key) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pricelake.functions import columns as C
@@ -11,6 +9,7 @@ from pricelake.operators import changes as G
 from pricelake.operators import series as S
 from pricelake.operators import tables as M
 from pricelake.sources.inputs import obs, runs, sites, with_views
+from pricelake.sources.scratch import scratch_path
 
 from .registry import query
 from .series_queries import OUTLIER_SQL
@@ -128,7 +127,7 @@ def _alerts(spark, d):
 ALERTS = f"a AS (SELECT c.* FROM c JOIN sites ON id = site_id WHERE coalesce({TRIGGER}, false))"
 
 
-@query("join_7_throttle", sql(f", {ALERTS} SELECT site_id, item_key, field FROM c WHERE (site_id, field, item_key) NOT IN (SELECT (site_id, field, item_key) FROM a WHERE changed_at >= {NOW} - INTERVAL 30000 MINUTE)", "sites"))
+@query("join_7_throttle", sql(f", {ALERTS} SELECT site_id, item_key, field FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site_id = c.site_id AND a.field = c.field AND a.item_key = c.item_key AND a.changed_at >= {NOW} - INTERVAL 30000 MINUTE)", "sites"))
 def join_7(spark, d):
     return G.throttled(all_changes(spark, d), _alerts(spark, d), _now(), 30000).select("site_id", "item_key", "field")
 
@@ -136,17 +135,13 @@ def join_7(spark, d):
 @query("src_4_alert_log", sql(f", {ALERTS} SELECT site_id, item_key, field, 'mail,hook' AS sinks, concat_ws('|', site_id, field, item_key) AS dedup_key FROM a", "sites"))
 def src_4(spark, d):
     """Appended to a partitioned table twice, the second time empty, and read again."""
-    path = _path(spark, "alerts")
+    path = scratch_path(spark, "alerts")
     log = _alerts(spark, d)
     G.appended(log, path, "created_at")
     G.appended(log.where("false"), path, "created_at")
     return spark.read.parquet(path).select("site_id", "item_key", "field", "sinks", "dedup_key")
 
 
-def _path(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
-
-
 def _flags(spark, d):
     """Whether the newest price of each item at each site is an outlier among those before."""
     o = obs(spark, d).withColumnRenamed("item_id", "item_key")
@@ -163,7 +158,7 @@ f AS (SELECT site_id, item_id FROM r JOIN m USING (site_id, item_id) JOIN s USIN
 LOGGED = """l AS (SELECT c.* FROM c WHERE (field <> 'price' OR (np > 0 AND np / op BETWEEN 1 / 20.0 AND 20)) AND NOT (field = 'availability' AND item_key % 7 = 0)
     AND NOT (field = 'price' AND (site_id, item_key) IN (SELECT (site_id, item_id) FROM f)))"""
 SENT = f"""e AS (SELECT l.* FROM l JOIN sites ON id = site_id WHERE coalesce({TRIGGER.replace(' * 1000', '')}, false)
-    AND (site_id, field, item_key) NOT IN (SELECT (site_id, field, item_key) FROM a WHERE changed_at >= {NOW} - INTERVAL 30000 MINUTE) AND (field <> 'price' OR (op - np) / op >= 0.1))"""
+    AND NOT EXISTS (SELECT 1 FROM a WHERE a.site_id = l.site_id AND a.field = l.field AND a.item_key = l.item_key AND a.changed_at >= {NOW} - INTERVAL 30000 MINUTE) AND (field <> 'price' OR (op - np) / op >= 0.1))"""
 
 
 def _batch(spark, d):
@@ -181,7 +176,7 @@ def chg_8(spark, d):
 def chg_8_tables(spark, d):
     """The batch with its writes: changes and alerts appended to partitioned logs, old runs pruned; the rows of each table."""
     logged, sent = _batch(spark, d)
-    paths = {name: _path(spark, name) for name in ("changes", "alert_events", "runs")}
+    paths = {name: scratch_path(spark, name) for name in ("changes", "alert_events", "runs")}
     text = C.change_text(F.col("item_key").cast("string"), F.col("field"), F.col("old_value"), F.col("new_value"))
     G.appended(logged.withColumn("changed_at", _now()), paths["changes"], "changed_at")
     G.appended(G.alert_log(sent, text, F.array(F.lit("mail")), _now()), paths["alert_events"], "created_at")
@@ -200,7 +195,7 @@ def join_2(spark, d):
 @query("src_3_change_log", sql("SELECT site_id, item_key, field, changed_at FROM c"))
 def src_3(spark, d):
     """Appended to a partitioned table twice, the second time empty, and read again."""
-    path = _path(spark, "changes")
+    path = scratch_path(spark, "changes")
     changes = all_changes(spark, d)
     G.appended(changes, path, "changed_at")
     G.appended(changes.where("false"), path, "changed_at")

@@ -49,6 +49,18 @@ def join_3(spark, d):
     return P.with_history(hits(spark, d), _past(spark, d), "item_id").select(*IDS, "hist_low", "hist_avg", "all_time_low")
 
 
+@query(
+    "join_3_recent_history",
+    sql(f"""p AS (SELECT a.item_id, a.seen_at, count(*) AS n, {r('min(b.price)', 2)} AS low, {r('sum(CAST(floor(b.price * 100 + 0.5) AS BIGINT)) / count(*) / 100', 2)} AS avg FROM (SELECT DISTINCT item_id, seen_at FROM obs) AS a JOIN obs AS b ON b.item_id = a.item_id AND b.seen_at < a.seen_at AND b.seen_at >= a.seen_at - INTERVAL 90 DAY GROUP BY a.item_id, a.seen_at HAVING count(*) >= 3)
+    SELECT {ID}, CASE WHEN converted IS NOT NULL THEN n END AS hist_count, CASE WHEN converted IS NOT NULL THEN low END AS hist_low, CASE WHEN converted IS NOT NULL THEN avg END AS hist_avg, coalesce(converted <= low + 0.005, false) AS all_time_low FROM hits LEFT JOIN p USING (item_id, seen_at)"""),
+)
+def join_3_recent(spark, d):
+    """The ninety days before each hit."""
+    h = S.recent_history(hits(spark, d), obs(spark, d), "item_id", "seen_at", "price", 90)
+    past = h.select("item_id", "seen_at", F.col("hist_count").alias("count"), F.col("hist_low").alias("low"), F.col("hist_avg").alias("avg")).distinct()
+    return P.with_history(h.drop("hist_count", "hist_low", "hist_avg"), past, ["item_id", "seen_at"]).select(*IDS, "hist_count", "hist_low", "hist_avg", "all_time_low")
+
+
 def _stores(spark, d):
     n = F.col("s_nationkey")
     return table(spark, d, "supplier").select(F.concat(F.lit("s"), (F.col("s_suppkey") % 40).cast("string")).alias("key"), F.when(n % 5 > 0, F.concat(F.lit("c"), n.cast("string"))).alias("country"), F.col("s_suppkey").alias("rank"), F.when(F.col("s_suppkey") % 11 == 0, "user").otherwise("built-in").alias("source"))

@@ -192,16 +192,27 @@ def win_8(spark, d):
 @query(
     "win_9_watchlist",
     with_views(
-        f"""n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY seen_at DESC, tie1 DESC, tie2 DESC) AS k FROM obs),
-        c AS (SELECT site_id, max(price) FILTER (WHERE k = 1) AS current_price, max(price) FILTER (WHERE k = 2) AS previous_price, max(availability) FILTER (WHERE k = 1) AS a FROM n GROUP BY site_id),
-        s AS (SELECT site_id, count(*) AS count, min(price) AS low, max(price) AS high, {AVG} AS avg FROM obs GROUP BY site_id),
-        x AS (SELECT obs.site_id, CAST(CASE WHEN max(s.count) < 2 OR max(high) <= max(low) THEN 0 ELSE greatest(0, least(100, floor(100 * (0.6::DOUBLE * ((max(high) - max(current_price)) / (max(high) - max(low))) + 0.4::DOUBLE * (count(*) FILTER (WHERE price >= current_price) / count(*))) + 0.5))) END AS INT) AS deal_score FROM obs JOIN c USING (site_id) JOIN s USING (site_id) GROUP BY obs.site_id)
-        SELECT id, current_price, previous_price, CASE WHEN previous_price <> 0 THEN {r('(current_price - previous_price) / previous_price * 100', 1)} END AS movement, low, high, avg, deal_score,
-        CASE WHEN a = 'Out of stock' THEN 'out of stock' WHEN current_price <= target_price THEN 'target hit' WHEN current_price < previous_price THEN 'price dropped' WHEN current_price > previous_price THEN 'price rose' WHEN a = 'In stock' THEN 'in stock' ELSE 'watching' END AS status
+        f"""d AS (SELECT site_id, seen_at, floor(count(*) FILTER (WHERE availability <> 'see store') / count(*) * 1000 + 0.5) / 1000 AS confidence, count(*) FILTER (WHERE currency = 'XXX') = 0 AS known,
+          min({{'a': tie1, 'b': tie2, 'i': item_id, 'p': price, 's': availability}}) AS f FROM obs GROUP BY site_id, seen_at),
+        n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY seen_at DESC) AS k FROM d),
+        c AS (SELECT site_id, max(f.i) FILTER (WHERE k = 1) AS item_key, max(f.p) FILTER (WHERE k = 1) AS price, max(f.s) FILTER (WHERE k = 1) AS a, max(f.p) FILTER (WHERE k = 2) AS prev_price,
+          max(confidence) FILTER (WHERE k = 1) AS confidence, bool_or(known) FILTER (WHERE k = 1) AS known, max(seen_at) FILTER (WHERE k = 1) AS last_checked FROM n GROUP BY site_id),
+        o AS (SELECT obs.* FROM obs JOIN c ON c.site_id = obs.site_id AND c.item_key = obs.item_id),
+        s AS (SELECT site_id, count(*) AS count, min(price) AS low, max(price) AS high, {AVG} AS avg, {LAST} AS current FROM o GROUP BY site_id),
+        x AS (SELECT o.site_id, CAST(CASE WHEN max(s.count) < 2 OR max(high) <= max(low) THEN 0 ELSE greatest(0, least(100, floor(100 * (0.6::DOUBLE * ((max(high) - max(current)) / (max(high) - max(low))) + 0.4::DOUBLE * (count(*) FILTER (WHERE price >= current) / count(*))) + 0.5))) END AS INT) AS deal_score FROM o JOIN s USING (site_id) GROUP BY o.site_id)
+        SELECT id, item_key, price, prev_price, CASE WHEN prev_price <> 0 THEN {r('(price - prev_price) / prev_price * 100', 1)} END AS change_pct, low, high, avg, CASE WHEN avg <> 0 THEN {r('(current - avg) / avg * 100', 1)} END AS pct_vs_avg, current <= low AS is_all_time_low, coalesce(deal_score, 0) AS deal_score, confidence,
+        CASE WHEN last_checked IS NULL THEN NULL WHEN confidence >= 0.85 THEN CASE WHEN known THEN 'verified' ELSE 'high' END WHEN confidence >= 0.5 THEN 'inferred' ELSE 'low' END AS quality, CASE WHEN last_checked IS NOT NULL THEN CASE WHEN known THEN 'both' ELSE 'selector' END END AS price_source,
+        CASE WHEN a = 'Out of stock' THEN 'out of stock' WHEN price <= target_price THEN 'target hit' WHEN price < prev_price THEN 'price dropped' WHEN price > prev_price THEN 'price rose' WHEN a = 'In stock' THEN 'in stock' ELSE 'watching' END AS status
         FROM sites LEFT JOIN c ON c.site_id = id LEFT JOIN s ON s.site_id = id LEFT JOIN x ON x.site_id = id""",
         "obs",
         "sites",
     ),
 )
 def win_9(spark, d):
-    return S.watchlist(sites(spark, d), obs(spark, d), "price", "availability", TIME).select("id", "current_price", "previous_price", "movement", "low", "high", "avg", "deal_score", "status")
+    """A site's price points of one day are the records of a run; stock texts and currencies that are known make it certain."""
+    o = obs(spark, d).withColumn("item_key", F.col("item_id")).withColumn("run_id", F.col("seen_at")).withColumn("title", F.lit(None).cast("string")).withColumn("place", F.struct("tie1", "tie2"))
+    share = S.rounded(F.count_if(F.col("availability") != "see store") / F.count("*"), 3)
+    known = F.when(F.count_if(F.col("currency") == "XXX") == 0, "both").otherwise("selector")
+    run = o.groupBy("site_id", "run_id").agg(share.alias("confidence"), F.to_json(F.create_map(F.lit("price"), known)).alias("field_sources")).withColumn("fetched_at", F.col("run_id"))
+    out = S.watchlist(sites(spark, d), run, o, o, TIME)
+    return out.select("id", "item_key", "price", "prev_price", "change_pct", "low", "high", "avg", "pct_vs_avg", "is_all_time_low", "deal_score", "confidence", "quality", F.col("field_sources")["price"].alias("price_source"), "status")

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelake.sources.inputs import with_views
+from pricelake.sources.scratch import scratch_path
 from pricelake.streaming import streams as R
 
 from .registry import query
 from .series_queries import OUTLIER_SQL
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The rows of a table as a stream of its files; the pattern fits a single file as well as a folder."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
@@ -33,7 +22,7 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _run(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", R.STATE_STORE)
-    return R.run_to_table(stream, _folder(spark, name), _folder(spark, f"{name}-progress"))
+    return R.run_to_table(stream, scratch_path(spark, name), scratch_path(spark, f"{name}-progress"))
 
 
 @query("str_1_change_stream", with_views("p AS (SELECT *, lag(price) OVER (PARTITION BY site_id, item_id ORDER BY seen_at, tie1, tie2) AS was FROM obs) SELECT site_id, item_id, CAST(seen_at AS TIMESTAMP) AS seen_at, was AS old_price, price AS new_price FROM p WHERE was <> price", "obs"))
@@ -74,6 +63,6 @@ def str_4(spark, d):
 @query("str_5_history_append", "SELECT l_partkey AS item_id, l_extendedprice AS price FROM lineitem WHERE l_suppkey % 2 = 0")
 def str_5(spark, d):
     s = _stream(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_extendedprice").alias("price"), "l_suppkey")
-    path, progress = _folder(spark, "history"), _folder(spark, "history-progress")
+    path, progress = scratch_path(spark, "history"), scratch_path(spark, "history-progress")
     R.history_append(s, path, progress, F.when(F.col("l_suppkey") % 2 == 0, F.col("item_id").cast("string"))).awaitTermination()
     return spark.read.parquet(path).select("item_id", "price")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pricelake.operators import tables as M
 from pricelake.operators.changes import appended
 from pricelake.sources.inputs import obs, runs, sites, table, with_views
+from pricelake.sources.scratch import scratch_path
 
 from .registry import query
 
@@ -27,7 +27,7 @@ def _batches(spark, d):
 
 def _appended(spark, d, part: int):
     """Runs (0) or records (1), appended in two batches to a table with a folder for each day, and read again."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/runs-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "runs")
     for half in (0, 1):
         appended(M.appended_runs(_batches(spark, d).where(F.col("run_id") % 2 == half), "url")[part], path, "fetched_at")
     return spark.read.parquet(path)
@@ -59,8 +59,8 @@ def src_5(spark, d):
 
 @query("src_6_exported_watchlist", with_views("SELECT id, url, alert_trigger FROM sites", "sites"))
 def src_6(spark, d):
-    """Written as CSV into the warehouse and read again."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/watchlist-{uuid.uuid4().hex}"
+    """Written as CSV and read again."""
+    path = scratch_path(spark, "watchlist")
     M.exported(sites(spark, d).select("id", "url", "alert_trigger"), path, "csv")
     return spark.read.csv(path, header=True, schema="id bigint, url string, alert_trigger string")
 
