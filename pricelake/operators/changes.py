@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelake.functions.columns import dedup_key, drop_fraction, highlight, in_stock, number
+from pricelake.sources.scratch import written
 
 
 def keyed(snapshot: DataFrame, key: list[str], fields: list[str], arrival: list[str]) -> DataFrame:
@@ -100,6 +101,47 @@ def throttled(changes: DataFrame, alerts: DataFrame, now: Column, minutes: int,
     return marked.join(recent, "dedup_key", "left_anti").drop("dedup_key")
 
 
+def next_allowed(alerts: DataFrame, key: str, at: str, number: str, minutes: int, slice_minutes: int) -> DataFrame:
+    """number and follows: for each alert, the number of the first one of its key (by time, then number) at least so many minutes later.
+
+    A key's alerts are put in order by slices of time, so a key with very many lies in many tasks; past its
+    own slice an alert looks at the first one of the key's next slice with any.
+    """
+    width = slice_minutes * 60_000_000
+    rows = alerts.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(number).alias("i"))
+    seen = rows.select("k", F.floor(F.col("t") / width).alias("s"), "t", F.struct("t", "i").alias("a"), F.lit(None).cast(alerts.schema[number].dataType).alias("i"))
+    later = F.col("t") + minutes * 60_000_000
+    asked = rows.select("k", F.floor(later / width).alias("s"), later.alias("t"), F.lit(None).cast(seen.schema["a"].dataType).alias("a"), "i")
+    # From the end of a slice to its start: the alert passed last is the first one from here on.
+    back = Window.partitionBy("k", "s").orderBy(F.desc("t"), F.col("i").isNotNull(), F.desc("a.i"))
+    inside = seen.unionByName(asked).withColumn("n", F.last("a", ignorenulls=True).over(back)).where("i IS NOT NULL").select("k", "s", "i", "n")
+    firsts = seen.groupBy("k", "s").agg(F.min("a").alias("f"))
+    slots = firsts.unionByName(inside.where("n IS NULL").select("k", "s").distinct(), allowMissingColumns=True).groupBy("k", "s").agg(F.min("f").alias("f"))
+    after = Window.partitionBy("k").orderBy("s").rowsBetween(1, Window.unboundedFollowing)
+    beyond = slots.withColumn("g", F.first("f", ignorenulls=True).over(after)).select("k", "s", "g")
+    open_ones = inside.where("n IS NULL").join(beyond, ["k", "s"]).select("i", F.col("g.i").alias("follows"))
+    return inside.where("n IS NOT NULL").select("i", F.col("n.i").alias("follows")).unionByName(open_ones).withColumnRenamed("i", "number")
+
+
+def throttled_alerts(alerts: DataFrame, key: str, at: str, number: str, minutes: int, slice_minutes: int = 7 * 24 * 60) -> DataFrame:
+    """JOIN-7 over all time: the alerts that are sent if each silences its key for the minutes after it.
+
+    The first of a key is sent, and after each sent one the next that is allowed. Links to the next allowed
+    alert are followed by pointer jumping: what is reached in k steps reaches as many again in one round, so
+    there are as many rounds as the longest chain has binary digits. number is unique; null keys are one key.
+    """
+    rows = written(alerts.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))), "alerts")
+    jumps = written(next_allowed(rows, "__key", at, number, minutes, slice_minutes).where("follows IS NOT NULL"), "jumps")
+    sent = rows.groupBy("__key").agg(F.min(F.struct(at, number)).alias("f")).select(F.col(f"f.{number}").alias("number"))
+    while True:
+        reached = written(sent.join(jumps, "number").select(F.col("follows").alias("number")), "reached")
+        if not reached.limit(1).count():
+            break
+        sent = written(sent.unionByName(reached), "sent")
+        jumps = written(jumps.join(jumps.toDF("follows", "next"), "follows").select("number", F.col("next").alias("follows")), "jumps")
+    return rows.join(sent.withColumnRenamed("number", number), number, "left_semi").drop("__key")
+
+
 def large_drops(changes: DataFrame, least: float) -> DataFrame:
     """CHG-7: price changes need a drop of at least this fraction; 0 turns it off."""
     if least <= 0:

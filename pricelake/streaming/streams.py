@@ -77,6 +77,9 @@ def guard_stream(points: DataFrame, keep: int = 500) -> DataFrame:
 
 def _throttle(minutes: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["created_at", "alert_id"])
         out = []
@@ -84,16 +87,103 @@ def _throttle(minutes: int):
             if last is None or at.value >= last + minutes * 60_000_000_000:
                 out.append((key[0], n, at))
                 last = at.value
-        if last is not None:
+        # What comes after the silence is allowed anyway, so its end is the end of the state.
+        ends = last // 1_000_000 + minutes * 60_000
+        if ends > state.getCurrentWatermarkMs():
             state.update((last,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["dedup_key", "alert_id", "created_at"])
 
     return run
 
 
-def throttle_stream(alerts: DataFrame, minutes: int) -> DataFrame:
-    """STR-3: alerts (dedup_key, alert_id, created_at) unless one of the same key was sent in the last minutes."""
-    return alerts.groupBy("dedup_key").applyInPandasWithState(_throttle(minutes), "dedup_key string, alert_id long, created_at timestamp", "last_sent long", "append", GroupStateTimeout.NoTimeout)
+def throttle_stream(alerts: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
+    """STR-3: alerts (dedup_key, alert_id, created_at) unless one of the same key was sent in the last minutes.
+
+    Alerts later than the watermark are dropped; a key's state goes once the watermark has passed its silence.
+    """
+    return alerts.withWatermark("created_at", late).groupBy("dedup_key").applyInPandasWithState(_throttle(minutes), "dedup_key string, alert_id long, created_at timestamp", "last_sent long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Snapshots(StatefulProcessor):
+    """Compares each snapshot of a site with the one before, once the watermark says that it is whole.
+
+    last holds the items of the newest compared snapshot and is replaced as a whole, open those of snapshots that may
+    still grow and is appended to; of an item's rows in a snapshot the last to arrive counts.
+    """
+
+    FIELDS = ("price", "availability")
+
+    #: A timer this much after a snapshot fires when the watermark lies beyond it.
+    BEYOND_MS = 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getListState("last", "item_key string, price double, availability string")
+        self.open = handle.getListState("open", "at long, item_key string, price double, availability string, arrival long")
+        self.done = handle.getValueState("done", "at long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows of a batch table: the snapshot that the first one of the stream is compared with."""
+        rows = zip(*(initialState[c] for c in ("item_key", "price", "availability")), strict=True)
+        self.last.put([(item, _plain(price), _plain(stock)) for item, price, stock in rows])
+        self.done.update((int(initialState["at"].max().value // 1_000_000),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done = self.done.get()[0] if self.done.exists() else None
+        new = []
+        for batch in rows:
+            for item, at, price, stock, arrival in zip(*(batch[c] for c in ("item_key", "at", "price", "availability", "arrival")), strict=True):
+                ms = int(at.value // 1_000_000)
+                if item is not None and (done is None or ms > done):
+                    new.append((ms, item, _plain(price), _plain(stock), int(arrival)))
+        if new:
+            self.open.appendList(new)
+            for ms in {row[0] for row in new}:
+                self.handle.registerTimer(ms + self.BEYOND_MS)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - self.BEYOND_MS
+        rows = [tuple(row) for row in self.open.get()]
+        new = {row[1]: row[2:4] for row in sorted((r for r in rows if r[0] == at), key=lambda r: r[4])}
+        old = {row[0]: tuple(row[1:]) for row in self.last.get()}
+        site, seen, out = key[0], pd.Timestamp(at, unit="ms"), []
+        if self.done.exists():
+            out += [(site, seen, i, "_new_item", None, i) for i in new if i not in old]
+            out += [(site, seen, i, "_removed_item", i, None) for i in old if i not in new]
+            out += [(site, seen, i, f, _text(a), _text(b)) for i in new if i in old for f, a, b in zip(self.FIELDS, old[i], new[i], strict=True) if a != b]
+        self.last.put([(i, *values) for i, values in new.items()])
+        rest = [r for r in rows if r[0] > at]
+        self.open.put(rest) if rest else self.open.clear()
+        self.done.update((at,))
+        yield pd.DataFrame(out, columns=["site_id", "at", "item_key", "field", "old_value", "new_value"])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A value as state holds it: null for what pandas calls missing."""
+    return None if value is None or value != value else value
+
+
+def _text(value) -> str | None:
+    return None if value is None else str(value)
+
+
+def snapshot_changes(records: DataFrame, wait: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """STR-1 over snapshots: changed fields, new and removed items between a site's successive snapshots.
+
+    records: site_id, at (timestamp of the snapshot), item_key, price, availability, arrival (long). A snapshot is
+    compared once others are newer by the wait, for which its rows may come in; later ones are dropped. The first snapshot is
+    compared with the initial one (site_id, item_key, at, price, availability) of a batch table, if there is any.
+    """
+    first = None if initial is None else initial.groupBy("site_id")
+    changes = "site_id long, at timestamp, item_key string, field string, old_value string, new_value string"
+    return records.withWatermark("at", wait).groupBy("site_id").transformWithStateInPandas(Snapshots(), changes, "Append", "EventTime", first)
 
 
 def digest_stream(changes: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:
