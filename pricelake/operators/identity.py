@@ -19,15 +19,13 @@ What meets is judged by the rule itself, so the result is that of comparing all
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelake.functions import columns as C
+from pricelake.functions.similarity import ratios
 from pricelake.sources.scratch import numbered, written
 
 # Fixed value: the least sequence ratio of titles of one product.
@@ -36,21 +34,9 @@ FACTS = ("gtin", "brand", "sku", "title", "models")
 
 
 @F.pandas_udf(T.DoubleType())
-def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """UDF-1: twice the matching characters over all characters, by longest matching blocks.
-
-    Pairs of a batch that share their second text follow each other, as its index is built once.
-    """
-    for a, b in batches:
-        out = pd.Series([None] * len(a), dtype="float64")
-        known = (a.notna() & b.notna()).to_numpy()
-        for text, rows in b[known].groupby(b[known], sort=False).indices.items():
-            matcher = difflib.SequenceMatcher(None, "", text)
-            places = known.nonzero()[0][rows]
-            for i in places:
-                matcher.set_seq1(a.iat[i])
-                out.iat[i] = matcher.ratio()
-        yield out
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """UDF-1: twice the matching characters over all characters, by longest matching blocks."""
+    return pd.Series(ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def identity_columns(prefix: str = "") -> list[Column]:
