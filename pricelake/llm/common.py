@@ -16,7 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _MORE_BLANKS = "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _BLANKS = re.compile(f"[{_MORE_BLANKS}]")
 _WORD = re.compile(r"[^ \t-\r]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Rows of one Arrow batch; whole texts can be long, so batches stay small.
 BATCH_ROWS = 512
 #: Bytes that a task should hold at once.
@@ -32,7 +31,7 @@ def words_of(text: str | None) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, everything else unchanged."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def small_batches(spark: SparkSession) -> None:

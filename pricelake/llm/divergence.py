@@ -1,9 +1,9 @@
 """Divergence of sources within a language, from chunks that are tokenized once.
 
-Documents are split at blanks into chunks, which never cut a term; a pass over the documents counts,
-for each language and source, how often a chunk occurs and in how many documents. Every distinct
-chunk is tokenized once, and its terms are joined back to the counts. Occurrences of a term add up
-over its chunks. The documents of a term do not, as a document may hold several of its chunks: a
+Documents are lower-cased (A-Z) and split at blanks into chunks, which never cut a term; a pass over the
+documents counts, for each language and source, how often a chunk occurs and in how many documents. Every
+distinct chunk becomes one row that holds these counts and is tokenized once; its terms take them along.
+Occurrences of a term add up over its chunks. The documents of a term do not, as a document may hold several of its chunks: a
 term is kept for certain if one chunk alone lies in ``LEAST_DOCUMENTS`` documents of the language and
 dropped for certain if all its chunks together do not; the documents of the few terms between are
 counted exactly in a second pass that returns only their rare chunks. That pass knows these chunks by
@@ -32,17 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, spent, words_of, written
+from .common import small_batches, spent, written
 
 LEAST_DOCUMENTS, TERM_RANKS = 10, 10
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of the map of undecided chunks (16 MB), and of one of its rows.
 BITS, ROW_BITS = 1 << 27, 1 << 16
-#: Groups of language and source that may be broadcast.
-BROADCAST_GROUPS = 100_000
+#: Groups of language and source, or terms of a language, that may be broadcast.
+BROADCAST_GROUPS = 300_000
 #: Distinct chunks that a task gathers before it hands their counts on.
-GATHERED = 300_000
+GATHERED = 700_000
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -50,38 +49,71 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def chunk_counts(documents: DataFrame) -> DataFrame:
-    """lang, source, chunk, n (occurrences), d (documents); the chunk '' only makes a group occur."""
+    """chunk, langs (lang, d, sources (source, n, d)), found: occurrences n, documents d and sorted terms of every distinct chunk.
+
+    Tasks hand on sums, so a frequent chunk meets a row for each task and group. The chunk '' lists all groups.
+    """
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        times: dict[tuple[str, str], Counter] = defaultdict(Counter)
         inside: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        # How often a chunk stands in documents besides the first time in each.
+        again: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
         def table():
-            rows = [(lang, source, c, n, inside[lang, source][c]) for (lang, source), counts in times.items() for c, n in counts.items()]
-            times.clear(), inside.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "source", "chunk", "n", "d"])
+            columns: list[list] = [[], [], [], [], []]
+            for (lang, source), d in inside.items():
+                d[b""] = 0
+                more = again[lang, source]
+                n = [times + more[c] for c, times in d.items()] if more else list(d.values())
+                for column, values in zip(columns, ([lang] * len(d), [source] * len(d), d, n, d.values()), strict=True):
+                    column.extend(values)
+            inside.clear(), again.clear()
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "chunk", "n", "d"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                chunks = words_of(text)
-                times[lang, source].update(chunks or [""])
-                inside[lang, source].update(set(chunks))
-            if sum(map(len, times.values())) >= GATHERED:
+                counts = Counter(chunks_of(text))
+                inside[lang, source].update(counts.keys())
+                extra = again[lang, source]
+                for c, n in counts.items():
+                    if n > 1:
+                        extra[c] += n - 1
+            if sum(map(len, inside.values())) >= GATHERED:
                 yield table()
-        if times:
+        if inside:
             yield table()
 
-    rows = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = rows.mapInArrow(run, "lang string, source string, chunk string, n long, d long")
-    return counts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    rows = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), text_bytes())
+    counts = rows.mapInArrow(run, "lang string, source string, chunk string, n long, d long").repartition("chunk")
+    groups = counts.groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    langs = groups.groupBy("chunk", "lang").agg(F.sum("d").alias("d"), F.collect_list(F.struct("source", "n", "d")).alias("sources"))
+    whole = langs.groupBy("chunk").agg(F.collect_list(F.struct("lang", "d", "sources")).alias("langs"))
+    return whole.withColumn("found", F.sort_array(F.regexp_extract_all("chunk", F.lit(f"({TERM})"), 1)))
+
+
+def text_bytes():
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+
+
+def chunks_of(text: bytes) -> list[bytes]:
+    """Chunks of a UTF-8 text, A-Z in lower case; bytes are split at the six ASCII blanks only."""
+    return text.lower().split()
+
+
+def terms_of_chunks(chunks: DataFrame) -> DataFrame:
+    """chunk, langs, term, first for every term of a chunk as often as it stands there; first marks one of the equal ones."""
+    marked = F.transform("found", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(F.col("found"), i - 1) != t)).alias("first")))
+    return chunks.select("chunk", "langs", F.explode(marked).alias("t")).select("chunk", "langs", "t.term", "t.first")
 
 
-def chunk_terms(counts: DataFrame) -> DataFrame:
-    """chunk, term, times for every distinct chunk with terms."""
-    found = F.regexp_extract_all("chunk", F.lit(f"({TERM})"), 1)
-    each = counts.select("chunk").distinct().select("chunk", F.explode(found).alias("term"))
-    return each.groupBy("chunk", F.translate("term", _UPPER, _UPPER.lower()).alias("term")).agg(F.count("*").alias("times"))
+def term_counts(chunks: DataFrame, least: int) -> DataFrame:
+    """lang, term, low and high (bounds of its documents), sources (source, count) of terms that may be kept."""
+    each = terms_of_chunks(chunks).select("term", "first", F.explode("langs").alias("l")).select("term", "first", "l.lang", F.col("l.d").alias("low"), F.explode("l.sources").alias("s"))
+    rows = each.select("lang", "term", "s.source", "s.n", F.when(F.col("first"), F.col("s.d")).otherwise(0).alias("d"), "low").repartition("lang", "term")
+    sums = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("count"), F.sum("d").alias("d"), F.max("low").alias("low"))
+    return sums.groupBy("lang", "term").agg(F.max("low").alias("low"), F.sum("d").alias("high"), F.collect_list(F.struct("source", "count")).alias("sources")).where(F.col("high") >= least)
 
 
 def bitmap(chunks: DataFrame) -> bytes:
@@ -109,30 +141,32 @@ def rare_chunks(documents: DataFrame, marked: bytes) -> DataFrame:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             key, lang, text = (batch.column(i).to_pylist() for i in range(3))
-            sets = [list(set(words_of(t))) for t in text]
+            sets = [list(set(chunks_of(t))) for t in text]
             flat = [c for s in sets for c in s]
-            code = np.fromiter((zlib.crc32(c.encode()) for c in flat), np.int64, len(flat)) % BITS
+            code = np.fromiter((zlib.crc32(c) for c in flat), np.int64, len(flat)) % BITS
             hit = np.flatnonzero(bits[code >> 3] >> (7 - (code & 7)).astype(np.uint8) & 1)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
             yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in owner], pa.int64()), pa.array([lang[i] for i in owner], pa.string()), pa.array([flat[i] for i in hit], pa.string())], ["document", "lang", "chunk"])
 
-    rows = documents.select(F.monotonically_increasing_id().alias("document"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "text")))
+    rows = documents.select(F.monotonically_increasing_id().alias("document"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_bytes())
     return rows.mapInArrow(run, "document long, lang string, chunk string")
 
 
-def kept_terms(documents: DataFrame, counts: DataFrame, terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """lang, term for every term in at least so many documents of the language."""
-    by_lang = counts.groupBy("lang", "chunk").agg(F.sum("d").alias("d"))
-    bounds = written(by_lang.join(terms, "chunk").groupBy("lang", "term").agg(F.max("d").alias("low"), F.sum("d").alias("high")).where(F.col("high") >= least), "bounds")
-    sure = bounds.where(F.col("low") >= least).select("lang", "term")
-    undecided = bounds.where(F.col("low") < least).select("lang", "term")
+def kept_terms(documents: DataFrame, chunks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """lang, term, sources (source, count) of every term in at least so many documents of the language."""
+    bounds = written(term_counts(chunks, least), "bounds")
+    sure = bounds.where(F.col("low") >= least)
+    open_terms = bounds.where(F.col("low") < least)
+    undecided = few(open_terms.select("lang", "term"), open_terms.count())
     # Of these terms, every chunk of the language, as each lies in fewer documents.
-    rare = written(by_lang.join(terms, "chunk").join(undecided, ["lang", "term"]).select("lang", "chunk", "term"), "rare")
+    rare = terms_of_chunks(chunks.where(F.exists("langs", lambda x: x["d"] < least))).where("first").select("chunk", "term", F.explode("langs").alias("l")).where(F.col("l.d") < least)
+    rare = written(rare.select("l.lang", "chunk", "term").join(undecided, ["lang", "term"]), "rare")
     if not rare.limit(1).count():
-        return sure
+        return sure.select("lang", "term", "sources")
     found = rare_chunks(documents, bitmap(rare.select("chunk"))).join(rare, ["lang", "chunk"])
     exact = found.groupBy("lang", "term", "document").agg(F.lit(1).alias("one")).groupBy("lang", "term").agg(F.count("*").alias("documents"))
-    return sure.unionByName(exact.where(F.col("documents") >= least).select("lang", "term"))
+    proven = open_terms.join(exact.where(F.col("documents") >= least), ["lang", "term"])
+    return sure.select("lang", "term", "sources").unionByName(proven.select("lang", "term", "sources"))
 
 
 def _p(count, total, terms):
@@ -149,15 +183,14 @@ def _f(p, q):
 def measured(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """groups: lang, source, n_terms (of the lang), total, p_absent; counts: lang, source, term, count, p of the kept terms that a group holds."""
     chunks = written(chunk_counts(documents), "chunks")
-    terms = written(chunk_terms(chunks), "terms")
-    kept = written(kept_terms(documents, chunks, terms, least), "kept")
-    counts = chunks.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
-    counts = written(counts.join(kept, ["lang", "term"], "left_semi"), "counts")
+    kept = written(kept_terms(documents, chunks, least), "kept")
+    counts = kept.select("lang", "term", F.explode("sources").alias("s")).select("lang", "s.source", "term", "s.count")
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    groups = chunks.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("n_terms")), "lang", "left")
+    occurring = chunks.where("chunk = ''").select(F.explode("langs").alias("l")).select("l.lang", F.explode("l.sources").alias("s")).select("lang", "s.source")
+    groups = occurring.join(totals, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("n_terms")), "lang", "left")
     groups = groups.fillna(0, ["total", "n_terms"]).withColumn("p_absent", F.when(F.col("n_terms") > 0, _p(F.lit(0), "total", "n_terms")))
     groups = written(groups, "groups")
-    spent(terms, chunks)
+    spent(chunks)
     facts = groups.select("lang", "source", "total", "n_terms")
     return groups, counts.join(few(facts, groups.count()), ["lang", "source"]).withColumn("p", _p("count", "total", "n_terms"))
 
