@@ -19,7 +19,6 @@ in UTF-8 order; extra columns are ignored, whatever their names; an empty table
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,24 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small_batches, spent, written
+from .common import small_batches, spent, written
 
 LEAST, WORDS, TOP, CONTAINED_PERCENT = 10, 3, 2000, 50
 #: Frequent words (about 100 MB as a dictionary) and phrases (16 bytes each) that a task may hold.
 MOST_WORDS, MOST_PHRASES = 500_000, 2_000_000
 #: Distinct words that a task gathers, and occurrences of phrases that it counts at once.
-GATHERED, COUNTED = 300_000, 2_000_000
+GATHERED, COUNTED = 200_000, 1_000_000
 RELATION = "document long, places array<int>, ids array<long>"
-_CUT = re.compile(r"[.,;:!?\n-\r]")
+_UPPER, CUT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\xff"
+#: A-Z in lower case, every cut as a byte that UTF-8 never has, a tab as a blank; other bytes stay.
+_PLAIN = bytes.maketrans(_UPPER + b".,;:!?\n\x0b\x0c\r\t", _UPPER.lower() + CUT * 10 + b" ")
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words in order, and an empty token at every cut between pieces and wherever blanks leave one."""
-    return _CUT.sub(" \n ", lower_ascii(text)).replace("\t", " ").split(" ") if text else []
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words in order (as UTF-8), and CUT between pieces."""
+    return text.translate(_PLAIN).replace(CUT, b" " + CUT + b" ").split() if text else []
 
 
 def texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.monotonically_increasing_id().alias("document"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    return documents.select(F.monotonically_increasing_id().alias("document"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 counts[lang].update(tokens(text))
             for c in counts.values():
-                c.pop("", None), c.pop("\n", None)
+                c.pop(CUT, None)
             if sum(map(len, counts.values())) >= GATHERED:
                 yield table()
         if counts:
@@ -105,36 +106,31 @@ def occurrences(documents: DataFrame, words: DataFrame, few: bool) -> DataFrame:
             for batch in batches:
                 for document, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     t = tokens(text)
-                    places = places_of(t)
-                    keep = [i for i, w in enumerate(t) if w and w != "\n"]
-                    yield pa.RecordBatch.from_arrays([pa.array([document] * len(keep), pa.int64()), pa.array([lang] * len(keep), pa.string()), pa.array([t[i] for i in keep], pa.string()), pa.array(places[keep], pa.int32())], ["document", "lang", "word", "place"])
+                    keep = [i for i, w in enumerate(t) if w != CUT]
+                    yield pa.RecordBatch.from_arrays([pa.array([document] * len(keep), pa.int64()), pa.array([lang] * len(keep), pa.string()), pa.array([t[i] for i in keep], pa.string()), pa.array(keep, pa.int32())], ["document", "lang", "word", "place"])
 
         exploded = rows.mapInArrow(each, "document long, lang string, word string, place int")
         return gathered(exploded.join(words.select("lang", "word", "id"), ["lang", "word"]))
-    table = words.select("lang", "word", "id").toArrow()
-    shared = documents.sparkSession.sparkContext.broadcast(tuple(table.column(i).to_pylist() for i in range(3)))
+    known: dict[str, dict[bytes, int]] = defaultdict(dict)
+    table = words.select("lang", F.col("word").cast("binary"), "id").toArrow()
+    for lang, word, n in zip(*(table.column(i).to_pylist() for i in range(3)), strict=True):
+        known[lang][word] = n
+    shared = documents.sparkSession.sparkContext.broadcast(dict(known))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known: dict[str, dict[str, int]] = defaultdict(dict)
-        for lang, word, n in zip(*shared.value, strict=True):
-            known[lang][word] = n
+        known = shared.value
         for batch in batches:
             out = []
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                t, find = tokens(text), known[lang].get
+                t, find = tokens(text), known.get(lang, {}).get
                 ids = np.fromiter((find(w, -1) for w in t), np.int64, len(t))
                 kept = np.flatnonzero(ids >= 0)
-                out.append((places_of(t)[kept], ids[kept]))
+                out.append((kept.astype(np.int32), ids[kept]))
             yield relation(batch.column(0), out)
 
     return rows.mapInArrow(run, RELATION)
 
 
-def places_of(t: list[str]) -> np.ndarray:
-    """The place of every token: words and cuts take one each, what blanks leave takes none."""
-    return np.cumsum(np.fromiter((w != "" for w in t), np.int32, len(t)), dtype=np.int32)
-
-
 def relation(documents, rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     ends = np.cumsum([0, *(len(p) for p, _ in rows)]).astype(np.int32)
     flat = [np.concatenate([r[k] for r in rows]) if rows else np.zeros(0) for k in (0, 1)]
