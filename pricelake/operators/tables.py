@@ -1,4 +1,8 @@
-"""Tables of the monitor: appends, upserts, retention and deletes as rewrites, and store payloads to rows."""
+"""Tables of the monitor: appends, upserts, retention and deletes, and store payloads to rows.
+
+Upserts, retention and deletes come twice: as expressions that give the new table, and applied to tables in
+hash buckets (sources/buckets.py), of which a batch rewrites the touched buckets only.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import columns as C
 from pricelake.functions.columns import missing, rounded
+from pricelake.sources.buckets import Buckets
+from pricelake.sources.scratch import written
 
 
 def appended_runs(batches: DataFrame, key_field: str) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +33,11 @@ def upserted_sites(old: DataFrame, new: DataFrame, settings: list[str]) -> DataF
     return both.groupBy("url", "schema_name").agg(F.min_by("id", "__at").alias("id"), F.min_by("created_at", "__at").alias("created_at"), *(F.max_by(c, "__at").alias(c) for c in settings))
 
 
+def upsert_sites(sites: Buckets, new: DataFrame, settings: list[str], batch: int) -> list[int]:
+    """SRC-2 on a table in buckets of (url, schema_name): returns the buckets rewritten."""
+    return sites.rewrite(batch, new, lambda old: upserted_sites(old, new, settings))
+
+
 def price_points(entries: DataFrame, at: Column) -> DataFrame:
     """SRC-5: entries with a positive price and a product key, all at one time."""
     return entries.where((F.col("price") > 0) & ~missing(F.col("product_key"))).withColumn("seen_at", at)
@@ -53,6 +64,20 @@ def without_sites(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) ->
     return {name: df.join(gone.select(F.col("id").alias(key)), key, "left_anti") for name, (df, key) in tables.items()}
 
 
+def delete_sites(sites: Buckets, others: dict[str, Buckets], gone: DataFrame, batch: int) -> dict[str, list[int]]:
+    """SRC-9 on tables in buckets, the others (of site_id) first: returns the buckets rewritten in each.
+
+    Only buckets that hold rows of a deleted site are rewritten.
+    """
+    ids = written(gone.select("id").where("id IS NOT NULL").distinct(), "gone")
+    done = {}
+    for name, held, column in [*((n, t, "site_id") for n, t in others.items()), ("sites", sites, "id")]:
+        held.recover()
+        named = ids.select(F.col("id").alias(column))
+        done[name] = held.rewrite(batch, held.rows().join(named, column, "left_semi").select(*held.key), lambda old, named=named, column=column: old.join(named, column, "left_anti"))
+    return done
+
+
 def with_active(sites: DataFrame, chosen: Column, flag: bool) -> DataFrame:
     """SRC-10: sites paused or resumed."""
     return sites.withColumn("active", F.when(chosen, int(flag)).otherwise(F.col("active")))
@@ -60,14 +85,33 @@ def with_active(sites: DataFrame, chosen: Column, flag: bool) -> DataFrame:
 
 def pruned(runs: DataFrame, records: DataFrame, sites: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """SRC-11: (runs, records) with the newest runs of each site; its retention_runs or keep, all if 0 or less."""
-    newest = Window.partitionBy("site_id").orderBy(F.desc("fetched_at"), F.desc("run_id"))
-    limits = sites.select(F.col("id").alias("site_id"), C.override(F.col("retention_runs"), keep).alias("__keep"))
-    ranked = runs.withColumn("__n", F.row_number().over(newest)).join(limits, "site_id", "left").withColumn("__keep", F.coalesce("__keep", F.lit(keep)))
+    ranked = _by_age(runs, sites, keep)
     kept = ranked.where("__keep <= 0 OR __n <= __keep").drop("__n", "__keep").select(*runs.columns)
     expired = ranked.where("__keep > 0 AND __n > __keep").select("run_id")
     return kept, records.join(expired, "run_id", "left_anti")
 
 
+def _by_age(runs: DataFrame, sites: DataFrame, keep: int) -> DataFrame:
+    """runs with their place from the newest of their site (__n) and how many of it are kept (__keep)."""
+    newest = Window.partitionBy("site_id").orderBy(F.desc("fetched_at"), F.desc("run_id"))
+    limits = sites.select(F.col("id").alias("site_id"), C.override(F.col("retention_runs"), keep).alias("__keep"))
+    return runs.withColumn("__n", F.row_number().over(newest)).join(limits, "site_id", "left").withColumn("__keep", F.coalesce("__keep", F.lit(keep)))
+
+
+def prune_runs(runs: Buckets, records: Buckets, sites: DataFrame, keep: int, batch: int) -> tuple[list[int], list[int]]:
+    """SRC-11 on tables in buckets of site_id: returns the buckets rewritten in runs and in records.
+
+    Only buckets with an expired run are rewritten. Records go first: a batch that is repeated after a loss
+    still finds in the runs which ones expired.
+    """
+    runs.recover()
+    aged = _by_age(runs.rows().select("site_id", "run_id", "fetched_at"), sites, keep)
+    expired = written(aged.where("__keep > 0 AND __n > __keep").select("site_id", "run_id"), "expired")
+    gone = lambda old: old.join(expired.select("run_id"), "run_id", "left_anti")
+    of_records = records.rewrite(batch, expired, gone)
+    return runs.rewrite(batch, expired, gone), of_records
+
+
 def evolved(old: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
     """SRC-12: rows of an older and a newer layout together, later columns filled with their defaults."""
     both = old.unionByName(new, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelake.operators import tables as M
 from pricelake.operators.changes import appended
+from pricelake.sources.buckets import Buckets
 from pricelake.sources.inputs import obs, runs, sites, table, with_views
 from pricelake.sources.scratch import scratch_path
 
@@ -43,12 +44,39 @@ def src_1_records(spark, d):
     return _appended(spark, d, 1).select("site_id", "fetched_at", "item_key")
 
 
-@query("src_2_upserted_sites", with_views("SELECT CASE WHEN id % 2 = 0 OR id % 3 > 0 THEN id ELSE id + 1000000 END AS id, url, CASE WHEN id % 3 = 0 THEN 5 ELSE interval_minutes END AS interval_minutes, CASE WHEN id % 2 = 0 OR id % 3 > 0 THEN 'old' ELSE 'new' END AS created_at FROM sites WHERE id % 2 = 0 OR id % 3 = 0 OR id % 3 > 0", "sites"))
-def src_2(spark, d):
+UPSERTED = with_views("SELECT CASE WHEN id % 2 = 0 OR id % 3 > 0 THEN id ELSE id + 1000000 END AS id, url, CASE WHEN id % 3 = 0 THEN 5 ELSE interval_minutes END AS interval_minutes, CASE WHEN id % 2 = 0 OR id % 3 > 0 THEN 'old' ELSE 'new' END AS created_at FROM sites WHERE id % 2 = 0 OR id % 3 = 0 OR id % 3 > 0", "sites")
+
+
+def _old_and_new_sites(spark, d):
     s = sites(spark, d).select("id", "url", F.lit("product").alias("schema_name"), "interval_minutes")
     old = s.where("id % 2 = 0 OR id % 3 > 0").withColumn("created_at", F.lit("old"))
     new = s.where("id % 3 = 0").withColumn("id", F.col("id") + 1000000).withColumn("interval_minutes", F.lit(5).cast(s.schema["interval_minutes"].dataType)).withColumn("created_at", F.lit("new"))
-    return M.upserted_sites(old, new, ["interval_minutes"]).select("id", "url", "interval_minutes", "created_at")
+    return old, new
+
+
+@query("src_2_upserted_sites", UPSERTED)
+def src_2(spark, d):
+    return M.upserted_sites(*_old_and_new_sites(spark, d), ["interval_minutes"]).select("id", "url", "interval_minutes", "created_at")
+
+
+#: Buckets of the tables made here; 1 TB would take some ten thousand.
+COUNT = 16
+
+
+def _in_buckets(spark, rows, *key: str) -> Buckets:
+    held = Buckets(spark, scratch_path(spark, "table"), key, COUNT)
+    held.create(rows)
+    return held
+
+
+@query("src_2_upserted_in_buckets", UPSERTED)
+def src_2_buckets(spark, d):
+    """The upsert applied to a table in buckets, twice under one batch number, and read again."""
+    old, new = _old_and_new_sites(spark, d)
+    held = _in_buckets(spark, old, "url", "schema_name")
+    for _ in range(2):
+        M.upsert_sites(held, new, ["interval_minutes"], 1)
+    return held.rows().select("id", "url", "interval_minutes", "created_at")
 
 
 @query("src_5_price_points", with_views("SELECT item_id, tie1, tie2, price FROM obs WHERE tie1 % 4 > 0 AND tie2 % 3 > 0", "obs"))
@@ -71,23 +99,40 @@ def src_7(spark, d):
     return M.latest_pages(M.archived(p)).select("archive_key", "url", "html")
 
 
-@query(
-    "src_9_cascade_delete",
-    with_views(
-        """SELECT 'sites' AS name, count(*) AS rows FROM sites WHERE id % 3 > 0 UNION ALL SELECT 'runs', count(*) FROM runs WHERE site_id % 3 > 0 UNION ALL SELECT 'records', 2 * count(*) FROM runs WHERE site_id % 3 > 0
-        UNION ALL SELECT 'changes', count(*) FROM obs WHERE site_id % 3 > 0 UNION ALL SELECT 'alert_events', count(*) FROM obs WHERE site_id % 3 > 0 AND availability = 'Out of stock'""",
-        "sites",
-        "runs",
-        "obs",
-    ),
+LEFT = with_views(
+    """SELECT 'sites' AS name, count(*) AS rows FROM sites WHERE id % 3 > 0 UNION ALL SELECT 'runs', count(*) FROM runs WHERE site_id % 3 > 0 UNION ALL SELECT 'records', 2 * count(*) FROM runs WHERE site_id % 3 > 0
+    UNION ALL SELECT 'changes', count(*) FROM obs WHERE site_id % 3 > 0 UNION ALL SELECT 'alert_events', count(*) FROM obs WHERE site_id % 3 > 0 AND availability = 'Out of stock'""",
+    "sites",
+    "runs",
+    "obs",
 )
-def src_9(spark, d):
-    """The rows that are left in each of the five tables."""
+
+
+def _five_tables(spark, d):
+    """The tables with the column of their site, and the sites to delete."""
     s, r, o = sites(spark, d), runs(spark, d), obs(spark, d)
     tables = {"sites": (s, "id"), "runs": (r, "site_id"), "records": (r.select("site_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item_key")), "site_id"), "changes": (o, "site_id"), "alert_events": (o.where("availability = 'Out of stock'"), "site_id")}
     gone = reduce(DataFrame.unionByName, (df.where(f"{key} % 3 = 0").select(F.col(key).cast("long").alias("id")) for df, key in tables.values())).distinct()
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in M.without_sites(tables, gone).items()]
-    return reduce(DataFrame.unionByName, counts)
+    return tables, gone
+
+
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()))
+
+
+@query("src_9_cascade_delete", LEFT)
+def src_9(spark, d):
+    """The rows that are left in each of the five tables."""
+    return _sizes(M.without_sites(*_five_tables(spark, d)))
+
+
+@query("src_9_deleted_in_buckets", LEFT)
+def src_9_buckets(spark, d):
+    """The same, deleted from tables in buckets."""
+    tables, gone = _five_tables(spark, d)
+    held = {name: _in_buckets(spark, df, key) for name, (df, key) in tables.items()}
+    M.delete_sites(held["sites"], {n: t for n, t in held.items() if n != "sites"}, gone, 1)
+    return _sizes({name: t.rows() for name, t in held.items()})
 
 
 @query("src_10_paused_sites", with_views("SELECT id, CASE WHEN id % 5 = 0 THEN 0 ELSE active END AS active FROM sites", "sites"))
@@ -98,10 +143,14 @@ def src_10(spark, d):
 KEEP = "x AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY fetched_at DESC, run_id DESC) AS n, CASE WHEN site_id % 3 = 0 THEN 5 WHEN site_id % 3 = 1 THEN 0 ELSE 10 END AS k FROM runs)"
 
 
-def _pruned(spark, d):
+def _runs_records_limits(spark, d):
     r = runs(spark, d)
     s = sites(spark, d).select("id", F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, 0).alias("retention_runs"))
-    return M.pruned(r, r.select("run_id", "site_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item_key")), s, 10)
+    return r, r.select("run_id", "site_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item_key")), s
+
+
+def _pruned(spark, d):
+    return M.pruned(*_runs_records_limits(spark, d), 10)
 
 
 @query("src_11_pruned_runs", with_views(f"{KEEP} SELECT run_id FROM x WHERE k <= 0 OR n <= k", "runs"))
@@ -114,6 +163,15 @@ def src_11_records(spark, d):
     return _pruned(spark, d)[1].select("run_id", "item_key")
 
 
+@query("src_11_pruned_in_buckets", with_views(f"{KEEP} SELECT run_id, item_key FROM x, (VALUES (0), (1), (2)) AS t(item_key) WHERE k <= 0 OR n <= k", "runs"))
+def src_11_buckets(spark, d):
+    """What is left of runs (as item 0) and records, pruned in buckets."""
+    r, records, limits = _runs_records_limits(spark, d)
+    held, of_records = _in_buckets(spark, r, "site_id"), _in_buckets(spark, records, "site_id")
+    M.prune_runs(held, of_records, limits, 10, 1)
+    return held.rows().select("run_id", F.lit(0).alias("item_key")).unionByName(of_records.rows().select("run_id", "item_key"))
+
+
 @query("src_12_evolved_schema", with_views("SELECT id, url, CASE WHEN id % 2 = 0 THEN 'any_change' ELSE alert_trigger END AS alert_trigger FROM sites", "sites"))
 def src_12(spark, d):
     s = sites(spark, d).select("id", "url", "alert_trigger")
