@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from pricelake.functions.columns import in_stock, quality_label, rounded, watch_status
 from pricelake.functions.running import Past
+from pricelake.operators import long_series
 from pricelake.sources.scratch import numbered, written
 
 #: Rows of one key whose distinct values an aggregation may hold at once.
@@ -50,17 +51,34 @@ def movement(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
     return df.withColumn("movement", F.when(before != 0, rounded((F.col(value) - before) / before * 100, 1)))
 
 
-def outliers(df: DataFrame, value: str, key, order: list[str], z: Column | float = 6.0, least: Column | int = 6, history: int | None = None) -> DataFrame:
+def outliers(df: DataFrame, value: str, key, order: list[str], z: Column | float = 6.0, least: Column | int = 6, history: int | None = None, held: int = HELD, slice_rows: int = long_series.SLICE) -> DataFrame:
     """WIN-6: flags values far from the median of strictly earlier ones, in units of 1.4826 times their median deviation.
 
     A flat history allows half of its level. Fewer than ``least`` earlier values flag nothing; null
     values are neither flagged nor counted. Rows stream through in the order of their series, sorted
     by Spark, so a task holds the values of one series once. ``history`` bounds how many earlier
-    values count, and with them what a task holds; without it, all do.
+    values count, and with them what a task holds; without it, all do, and series of more than ``held``
+    values are spread over tasks by slices (long_series.py).
     """
     keys = [key] if isinstance(key, str) else list(key)
     z, least = (x if isinstance(x, Column) else F.lit(x) for x in (z, least))
     rows = df.select(*df.columns, F.struct(*keys).alias("__key"), F.col(value).cast("double").alias("__value"), z.cast("double").alias("__z"), least.cast("int").alias("__least"))
+    sizes = None if history is not None else large_keys(rows, "__value", keys, held)
+    if sizes is None:
+        return _streamed(rows, df, keys, order, history)
+    names = [f"__k{i}" for i in range(len(keys))]
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    facts = written(sizes.toDF(*names, "__size").withColumn("__h", F.monotonically_increasing_id()), "series")
+    marked = written(rows.join(facts, same, "left").drop(*names, "__size").withColumn("__i", F.monotonically_increasing_id()), "long")
+    known = marked.where("__h IS NOT NULL AND __value IS NOT NULL")
+    times = [f"__t{n}" for n in range(len(order))]
+    flags = long_series.flagged(known.select(F.col("__h").alias("h"), F.col("__i").alias("i"), F.col("__value").alias("value"), F.col("__z").alias("z"), F.col("__least").alias("least"), *(F.col(c).alias(t) for c, t in zip(order, times, strict=True))), times, slice_rows)
+    spread = marked.where("__h IS NOT NULL").join(flags.withColumnsRenamed({"i": "__i", "outlier": "__flag"}), "__i", "left").select(*df.columns, F.coalesce("__flag", F.lit(False)).alias("outlier"))
+    return _streamed(marked.where("__h IS NULL").drop("__h", "__i"), df, keys, order, None).unionByName(spread)
+
+
+def _streamed(rows: DataFrame, df: DataFrame, keys: list[str], order: list[str], history: int | None) -> DataFrame:
+    """Flags of rows (the columns of df, then key, value, z and least), each series in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         last, past = None, Past(history)
@@ -74,7 +92,7 @@ def outliers(df: DataFrame, value: str, key, order: list[str], z: Column | float
                     past.add(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(flags, pa.bool_())], [*batch.schema.names[:-4], "outlier"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType(df.schema.fields).add("outlier", "boolean"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("outlier", T.BooleanType())]))
 
 
 def scaled(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
@@ -88,18 +106,25 @@ def scaled(df: DataFrame, value: str, key, order: list[str]) -> DataFrame:
     return df.withColumn("x", x).withColumn("y", (F.col(value) - low) / F.when(high > low, high - low).otherwise(1.0)).withColumn("trend", trend)
 
 
+def large_keys(df: DataFrame, value: str, keys: list[str], held: int) -> DataFrame | None:
+    """Keys with more than held known values and how many they have (__size); None if there are none."""
+    known = df.where(F.col(value).isNotNull()).select(*keys)
+    if known.limit(held + 1).count() <= held:
+        return None
+    sizes = written(known.groupBy(*keys).agg(F.count("*").alias("__size")).where(F.col("__size") > held), "large")
+    return sizes if sizes.limit(1).count() else None
+
+
 def large_medians(df: DataFrame, value: str, keys: list[str], held: int = HELD) -> DataFrame | None:
     """Keys with more than held known values, and their exact medians (__median); None if there are none.
 
     median() holds a counter for every distinct value of a key. Of large keys, values are put in order over
     many tasks instead, and the ones at the two middle places are read.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    if known.limit(held + 1).count() <= held:
-        return None
-    sizes = written(known.groupBy(*keys).agg(F.count("*").alias("__size")).where(F.col("__size") > held), "large")
-    if not sizes.limit(1).count():
+    sizes = large_keys(df, value, keys, held)
+    if sizes is None:
         return None
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     names = [f"__k{i}" for i in range(len(keys))]
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
     facts = sizes.toDF(*names, "__size")
