@@ -9,6 +9,9 @@ A slice holds a fixed number of a series' values in time order, a bin as many in
    the value: it is one if at least half of the earlier values lie within the limit. Counting those before the
    slice is a question for each end of the interval. The slices before a slice are a union of few blocks of
    2^k slices; in each block, values and questions are put in order over many tasks and summed up.
+
+Counts by bin and slice are as many as the square of the number of slices, so slices should hold the square root of
+a series' length or more. A value is written once for about half of the binary digits of the number of slices.
 """
 
 from __future__ import annotations

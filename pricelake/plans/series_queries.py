@@ -170,6 +170,12 @@ def win_6(spark, d):
     return S.outliers(runs(spark, d), "price", "site_id", ["fetched_at", "run_id"]).select("run_id", "outlier")
 
 
+@query("win_6_outliers_of_long_series", with_views(OUTLIER_SQL.replace("b.site_id = a.site_id", "b.content_token = a.content_token") + " SELECT run_id, outlier FROM o", "runs"))
+def win_6_long(spark, d):
+    """Few series of very many runs each, spread over slices; slices are small, so that these tables fill many."""
+    return S.outliers(runs(spark, d), "price", "content_token", ["fetched_at", "run_id"], held=100, slice_rows=200).select("run_id", "outlier")
+
+
 @query(
     "win_7_scaled_series",
     with_views(
