@@ -332,7 +332,7 @@ SHIPPED = "group long, salt long, suffixes binary, bucket long, flags binary"
 
 
 def dealt(texts: DataFrame, groups: Groups, salts: dict[int, int], buckets: int) -> DataFrame:
-    """From doc, row, text, held: suffixes packed by group and salt, and the flags settled in the batch packed by bucket of documents."""
+    """From doc, row, text, held: suffixes packed by group and salt (-1: the group has none), and the flags settled in the batch packed by bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for turn, (s, hashes, again) in enumerate(_suffixes(batches)):
@@ -340,9 +340,9 @@ def dealt(texts: DataFrame, groups: Groups, salts: dict[int, int], buckets: int)
             group, held = _split(s[~again], groups.of(hashes)[~again])
             suffixes = list(map(_packed, held))
             n, m = len(group), len(bucket)
-            salt = [(xxhash.xxh64_intdigest(x[:64]) + turn) % salts.get(g, 1) for g, x in zip(group.tolist(), suffixes, strict=True)]
+            salt = [(xxhash.xxh64_intdigest(x[:64]) + turn) % salts[g] if g in salts else -1 for g, x in zip(group.tolist(), suffixes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([group, -1 - bucket])), pa.array([*salt, *[0] * m], pa.int64()), pa.array([*suffixes, *[None] * m], pa.binary()), pa.array([*[None] * n, *bucket.tolist()], pa.int64()), pa.array([*[None] * n, *done], pa.binary())],
+                [pa.array(np.concatenate([group, -1 - bucket])), pa.array([*salt, *[-1] * m], pa.int64()), pa.array([*suffixes, *[None] * m], pa.binary()), pa.array([*[None] * n, *bucket.tolist()], pa.int64()), pa.array([*[None] * n, *done], pa.binary())],
                 ["group", "salt", "suffixes", "bucket", "flags"],
             )
 
@@ -361,7 +361,7 @@ def subtrees(buckets: int, merge: bool = False):
         if merge:
             g, rest = group.column("group")[0].as_py(), s[~gone]
             n = len(out["bucket"])
-            out = {"group": [*(-1 - b for b in out["bucket"]), g], "salt": [0] * (n + 1), "suffixes": [*[None] * n, _packed(rest)], "bucket": [*out["bucket"], None], "flags": [*out["flags"], None]}
+            out = {"group": [*(-1 - b for b in out["bucket"]), g], "salt": [-1] * (n + 1), "suffixes": [*[None] * n, _packed(rest)], "bucket": [*out["bucket"], None], "flags": [*out["flags"], None]}
         types = {"flags": pa.binary(), "suffixes": pa.binary()}
         return pa.table({c: pa.array(x, types.get(c, pa.int64())) for c, x in out.items()})
 
@@ -377,7 +377,7 @@ def marked(texts: DataFrame, size: int) -> DataFrame:
     rows = dealt(texts, groups, salts, buckets)
     if salts:
         rows = written(rows, "suffixes")
-        hot = F.col("group").isin(*salts)
+        hot = F.col("salt") >= 0
         rows = rows.where(~hot).unionByName(rows.where(hot).groupBy("group", "salt").applyInArrow(subtrees(buckets, merge=True), SHIPPED))
     found = rows.repartition(partitions, "group").groupBy("group").applyInArrow(subtrees(buckets), "bucket long, flags binary")
     return found.groupBy("bucket").applyInArrow(runs_of_texts, "doc long, row int, runs binary")
