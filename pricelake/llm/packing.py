@@ -250,7 +250,7 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     table = spark.createDataFrame(rows, "c int, low long, high long, sequence long, each long")
 
     buckets = max(1, (sum(counts.values()) + full) // BUCKET_ROWS)
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     sizes = bucketed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("class").alias("k"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
