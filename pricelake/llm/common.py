@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +67,14 @@ def spent(*tables: DataFrame) -> None:
             table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
 
 
+def released() -> None:
+    """Hands memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import chunks, small_batches, words_of, written
+from .common import chunks, released, small_batches, words_of, written
 
 VOCABULARY, CLOSE = "word_bpe_49k.json", 1
 LENGTH, GRAIN, GAP = 2048, 16, 1e-4
 CAPACITY = LENGTH // GRAIN
 #: Rests that one bucket of a class may hold when ranks are counted, about.
 BUCKET_ROWS = 20_000
-#: Words that a task remembers before it starts afresh (about 60 MB).
-CACHE = 300_000
+#: Words that a task remembers before it starts afresh (about 30 MB).
+CACHE = 150_000
 _MARKS = ".,;:!?|"
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words whose normal form is their lower case: printable ASCII and Latin-1 letters.
@@ -142,6 +142,7 @@ def pieces(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        released()
         encoder = encoder_of(public_tokenizers.path(vocabulary))
         try:
             for batch in batches:
@@ -152,6 +153,7 @@ def pieces(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         finally:
             # Workers live on and serve other stages.
             encoder.forget()
+            released()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
