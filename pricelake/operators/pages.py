@@ -225,13 +225,12 @@ _NUMBER = r"(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 def fallback_price(html: Column) -> Column:
     """EXT-14: amount and currency from an element that looks like a price, else the first tagged number in the text."""
     codes = "|".join(C.CURRENCY_CODES)
-    candidates = []
-    for mark in PRICE_MARKS:
-        tag = F.regexp_extract(html, rf"(?s)(<[^>]*{mark}[^>]*>[^<]*)", 1)
-        value = F.coalesce(*(F.nullif(F.regexp_extract(tag, rf'\s{a}="([^"]*)"', 1), F.lit("")) for a in ("content", "data-price", "data-price-amount", "value")), F.regexp_extract(tag, r"(?s)>([^<]*)$", 1))
-        candidates.append(value)
+    # A tag is looked for once and then bound, as each further mention of an expression over the page may search the page anew.
+    tags = F.array(*(F.regexp_extract(html, rf"(?s)(<[^>]*{mark}[^>]*>[^<]*)", 1) for mark in PRICE_MARKS))
+    value = lambda tag: F.coalesce(*(F.nullif(F.regexp_extract(tag, rf'\s{a}="([^"]*)"', 1), F.lit("")) for a in ("content", "data-price", "data-price-amount", "value")), F.regexp_extract(tag, r"(?s)>([^<]*)$", 1))
     token = F.regexp_extract(body_text(html), rf"({_SYMBOL}\s?{_NUMBER}|(?:{codes})\s?{_NUMBER}|{_NUMBER}\s?(?:{codes}))", 1)
-    return F.get(F.filter(F.transform(F.array(*candidates, token), lambda c: F.struct(C.number(c).alias("amount"), C.currency(c).alias("currency"))), lambda p: p["amount"] > 0), 0)
+    chosen = F.get(F.filter(F.concat(F.transform(tags, value), F.array(token)), lambda c: C.number(c) > 0), 0)
+    return C.bound(chosen, lambda c: F.when(c.isNotNull(), C.price(c)))
 
 
 def fallback_stock(html: Column) -> Column:
@@ -254,8 +253,12 @@ def filled_gaps(records: DataFrame, pages: DataFrame, keys: list[str], fields=("
     The fallback's currency comes along with its price, where the record names none.
     """
     h = F.col("html")
-    price = fallback_price(h)
+    price = F.col("__price")
     spare = {"title": fallback_title(h), "price": price["amount"], "availability": fallback_stock(h), "image": fallback_image(h)}
+    if "price" in fields:
+        pages = pages.withColumn("__price", fallback_price(h))
+    else:
+        pages = pages.withColumn("__price", F.lit(None).cast("struct<amount:double,currency:string>"))
     found = pages.select(*keys, *(spare[f].alias(f"f_{f}") for f in fields), price["currency"].alias("f_currency"))
     j = found.join(records, keys, "left")
     missed = lambda f: missing(F.col(f)) if f in records.columns else F.lit(True)

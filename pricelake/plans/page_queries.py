@@ -8,7 +8,7 @@ from pricelake.functions.columns import number, rounded
 from pricelake.operators import elements as E
 from pricelake.operators import pages as X
 from pricelake.operators.tables import archived, latest_pages
-from pricelake.sources.inputs import list_pages, product_pages, table
+from pricelake.sources.inputs import list_pages, parts, product_pages, table
 
 from .registry import query
 
@@ -77,7 +77,7 @@ def ext_7(spark, d):
 @query("ext_8_node_records", LISTED.replace("concat('/item/', p_partkey) AS url", "concat('/item/', p_partkey) AS url, 'ACME' AS brand, 4.5 AS rating, CAST(9 AS DOUBLE) AS review_count"))
 def ext_8(spark, d):
     """Objects with other key names: cents, nested brand and rating."""
-    part = table(spark, d, "part")
+    part = parts(spark, d)
     cents = F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long")
     node = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("skuId"), F.col("p_name").alias("displayName"), F.struct(cents.alias("centAmount")).alias("price"), F.concat(F.lit("/item/"), F.col("p_partkey").cast("string")).alias("link"), F.array(F.struct(F.lit("ACME").alias("name"))).alias("brand"), F.struct(F.lit("4.5").alias("ratingValue"), F.lit(9).alias("reviewCount")).alias("aggregateRating")))
     nodes = part.select(F.trim("p_brand").alias("page"), F.try_parse_json(node).alias("node"))
@@ -88,7 +88,7 @@ def ext_8(spark, d):
 def flt_9(spark, d):
     k = F.col("p_partkey") % 4
     node = F.to_json(F.struct(F.when(k != 1, F.col("p_name")).alias("name"), F.when(k == 0, "7.5").alias("price"), F.when(k == 3, F.struct(F.lit("7.5").alias("price"))).alias("offers"), F.col("p_partkey").cast("string").alias("sku")))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(X.is_product(F.try_parse_json(node)), F.lit(False)).alias("product"))
+    return parts(spark, d).select("p_partkey", F.coalesce(X.is_product(F.try_parse_json(node)), F.lit(False)).alias("product"))
 
 
 SPEC = [{"name": "title", "selector": "h1"}, {"name": "price", "selector": ".price"}]
@@ -219,7 +219,7 @@ def ext_3_ended(spark, d):
     inner = F.concat(F.lit("<b itemprop=name> "), "p_name", F.lit(" </b><div itemscope itemprop='brand' content='Shop'></div>"), F.when(k % 2 == 0, F.concat(F.lit("<i itemprop='sku'>s"), key, F.lit("</i>"))).otherwise(F.lit("")))
     after = F.lit('<div itemscope itemtype="https://schema.org/Organization"><i itemprop="sku">other</i><i itemprop="rating">1</i></div>')
     html = F.when(k % 3 == 0, F.concat(F.lit("<p>"), inner, F.lit("</p>"))).otherwise(F.concat(F.lit("<i itemprop=sku>before</i><div itemscope itemtype='https://schema.org/Product'>"), inner, F.lit("</div>"), after))
-    pages = table(spark, d, "part").select(k.alias("page_id"), html.alias("html"))
+    pages = parts(spark, d).select(k.alias("page_id"), html.alias("html"))
     return E.microdata_record(pages, K).select("page_id", "title", "sku", "brand")
 
 
@@ -231,7 +231,7 @@ def ext_3_ended(spark, d):
 )
 def ext_12_records(spark, d):
     """Selectors that agree, differ or find no price, and pages without structured data."""
-    p, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    p, k = parts(spark, d), F.col("p_partkey") % 4
     price = F.floor(F.col("p_retailprice") * 100 + 0.5) / 100
     seen = p.select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), F.when(k == 1, F.lit(1.0)).when(k != 2, price).alias("price"))
     known = p.where(k < 3).select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), price.alias("price"), F.lit("ACME").alias("brand"), (price * 2).alias("original_price"))
@@ -247,7 +247,7 @@ def ext_12(spark, d):
     k, price = F.col("p_partkey") % 4, F.floor(F.col("p_retailprice") * 100 + 0.5) / 100
     seen = F.when(k == 0, F.concat(F.lit("$"), price.cast("decimal(18,2)").cast("string"))).when(k == 1, "$1.00")
     known = F.when(k < 3, price.cast("decimal(18,2)").cast("string"))
-    c = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), X.consensus(seen, known, "price", "price").alias("c"))
+    c = parts(spark, d).select(F.col("p_partkey").alias("page_id"), X.consensus(seen, known, "price", "price").alias("c"))
 
     return c.select("page_id", number("c.value").alias("price"), "c.confidence", "c.source")
 
@@ -299,7 +299,7 @@ def _kinds(spark, d):
     )
     paths = F.array(*map(F.lit, ("/a", "/a", "/a", "/a", "/a", "/a", "/a", "/search", "/careers/7", "/blog/7", "/a")))
     key = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.test"), F.element_at(paths, k + 1), F.lit("?id="), key).alias("url"), F.concat(F.element_at(bodies, k + 1), key).alias("html"))
+    return parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.test"), F.element_at(paths, k + 1), F.lit("?id="), key).alias("url"), F.concat(F.element_at(bodies, k + 1), key).alias("html"))
 
 
 @query("ext_17_detected_schema", part_sql("['jobs', 'product', 'product_list', 'real_estate', 'news', 'product', 'product_list', 'product_list', 'jobs', 'news', 'product'][p_partkey % 11 + 1] AS schema"))
@@ -337,13 +337,13 @@ def flt_6(spark, d):
     k, name = F.col("p_partkey") % 5, F.concat(F.lit("<p>"), "p_name", F.lit("</p>"))
     script = F.lit("<script>var long = 'text that does not show';</script>")
     html = F.when(k == 0, F.concat(script, script, script, F.repeat(name, 40))).when(k == 1, F.concat(script, name, script, script)).when(k == 2, F.concat(script, name, script)).when(k == 3, "")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), X.emptiness(html).alias("kind"))
+    return parts(spark, d).select(F.col("p_partkey").alias("page_id"), X.emptiness(html).alias("kind"))
 
 
 @query("ext_3_scoped_microdata", part_sql(f"p_name AS title, {PRICE} AS price, 4.5 AS rating, CAST(12 AS DOUBLE) AS review_count"))
 def ext_3_scoped(spark, d):
     """Another scope with a name of its own stands before the product's; single quotes on every second page."""
-    p = table(spark, d, "part")
+    p = parts(spark, d)
     html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">Shop Inc</b></div><div itemscope itemtype="https://schema.org/Product"><b itemprop="name">'), "p_name", F.lit('</b><i itemprop="price" content="'), F.round("p_retailprice", 2).cast("string"), F.lit('"></i><i itemprop="ratingValue">4.5</i><i itemprop="reviewCount">12</i></div>'))
     pages = p.select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_partkey") % 2 == 0, html).otherwise(F.translate(html, '"', "'")).alias("html"))
     return E.microdata_record(pages, K).select("page_id", "title", "price", "rating", "review_count")
@@ -355,7 +355,7 @@ def ext_5_deep(spark, d):
     kind = F.when(F.col("p_partkey") % 2 == 0, "http://schema.org/Product").otherwise("IndividualProduct")
     node = F.to_json(F.struct(kind.alias("@type"), F.col("p_name").alias("name"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("mpn")))
     html = F.concat(F.lit('<script type="application/ld+json">' + '{"x": [' * 6), node, F.lit("]}" * 6 + "</script>"))
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    pages = parts(spark, d).select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     kinds = X.jsonld_nodes(pages, K, ("@type",)).select("page_id", F.try_variant_get("node", "$['@type']", "string").alias("kind"))
     return X.jsonld_products(pages, K).select("page_id", "title", "mpn").join(kinds, "page_id")
 
