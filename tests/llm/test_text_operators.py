@@ -382,3 +382,16 @@ def test_mixing(spark, documents, empty):
     assert abs(sum(target.values()) - 1.5 * sum(sizes.values())) < 1e-6
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mixed(documents.repartition(7)).collect()))
     assert mixing.mixed(empty).count() == 0
+
+
+def test_quality_threshold_is_that_of_all_rows(spark):
+    """9,000 scores, also equal ones, against numpy over all of them."""
+    rng = np.random.default_rng(6)
+    score, good = rng.normal(0.5, 0.05, 9000).round(5), np.ones(9000, bool)
+    good[::3] = False
+    score[::3] += 0.1
+    df = spark.createDataFrame([(int(g), float(s)) for g, s in zip(good, score)], "quality int, anomaly double")
+    least = np.quantile(score[good], quality.KEEP_GOOD)
+    want = max((np.mean(score[good] <= c) + np.mean(score[~good] > c), c) for c in np.unique(score[score >= least]))[1]
+    assert quality.threshold(df, int(good.sum()), int((~good).sum())) == want
+    assert abs(quality.threshold(df.where("quality = 1"), int(good.sum()), 0) - least) < 1e-12
