@@ -31,6 +31,8 @@ KEYS = {
 STATE_NAMES = ("__APOLLO_STATE__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__REDUX_STATE__", "__NUXT__", "__wovn_initial_data__", "__data__")
 # Tags whose content never shows.
 NOISE_TAGS = ("script", "style", "noscript", "svg", "path", "iframe", "head", "template")
+#: Characters of objects that are handed on together.
+NODES_SIZE = 1_000_000
 LD_SCRIPT = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
 
@@ -71,6 +73,28 @@ def _objects(text: str, wanted: frozenset | None) -> Iterator[tuple[str, str]]:
         open_nodes += [(f"{place}/{i:06d}", x) for i, x in enumerate(children) if isinstance(x, (dict, list))][::-1]
 
 
+def node_batches(batches: Iterator[pa.RecordBatch], names: list[str], wanted: frozenset | None) -> Iterator[pa.RecordBatch]:
+    """The objects of batches of texts (keys, seq, text) under their keys. A batch holds those of many small texts, or a part of those of a large one."""
+
+    def together(batch, at, found):
+        of = pa.array(at, pa.int32())
+        return pa.RecordBatch.from_arrays([*(column.take(of) for column in batch.columns[:-2]), *(pa.array(c, pa.string()) for c in zip(*found, strict=True))], names)
+
+    for batch in batches:
+        found, at, size = [], [], 0
+        for i, (seq, text) in enumerate(zip(*batch.columns[-2:], strict=True)):
+            seq = seq.as_py()
+            for place, node in _objects(text.as_py(), wanted):
+                found.append((seq + place, node))
+                at.append(i)
+                size += len(node)
+                if size >= NODES_SIZE:
+                    yield together(batch, at, found)
+                    found, at, size = [], [], 0
+        if found:
+            yield together(batch, at, found)
+
+
 def json_nodes(scripts: DataFrame, keys: list[str], text: str, names=None) -> DataFrame:
     """Every object of JSON texts, however deep: keys, place (in document order) and node.
 
@@ -81,15 +105,7 @@ def json_nodes(scripts: DataFrame, keys: list[str], text: str, names=None) -> Da
     rows = scripts.select(*keys, F.lpad(F.col("seq").cast("string"), 4, "0").alias("__seq"), F.col(text).alias("__text")).where("__text IS NOT NULL")
     schema = T.StructType([scripts.schema[k] for k in keys]).add("place", "string").add("__json", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for i, (seq, script) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__seq", "__text")), strict=True)):
-                found = [(seq + place, node) for place, node in _objects(script, wanted)]
-                if found:
-                    at = pa.array([i] * len(found))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array(c, pa.string()) for c in zip(*found, strict=True))], schema.names)
-
-    return rows.mapInArrow(run, schema).select(*keys, "place", F.try_parse_json("__json").alias("node")).where("node IS NOT NULL")
+    return rows.mapInArrow(lambda batches: node_batches(batches, schema.names, wanted), schema).select(*keys, "place", F.try_parse_json("__json").alias("node")).where("node IS NOT NULL")
 
 
 def jsonld_nodes(pages: DataFrame, keys: list[str], names=None) -> DataFrame:
@@ -116,32 +132,49 @@ def _get(node: Column, path: str) -> Column:
     return F.nullif(F.try_variant_get(node, path, "string"), F.lit(""))
 
 
-def first_key(node: Column, names, parent: str = "$") -> Column:
-    return F.coalesce(*(_get(node, f"{parent}.{n}") for n in names))
+def _values(node: Column, path: str = "$") -> Column:
+    """The values of an object as texts by their keys: it is walked once, however many names are then looked up."""
+    return F.try_variant_get(node, path, "map<string,string>")
+
+
+def _first(held: Column, names) -> Column:
+    return F.coalesce(*(F.nullif(F.try_element_at(held, F.lit(n)), F.lit("")) for n in names))
 
 
 def is_product(node: Column) -> Column:
     """FLT-9: has a name of 3 to 300 characters, a price or offers, and a page, stock number or image."""
-    name = first_key(node, KEYS["title"])
     offers = F.try_variant_get(node, "$.offers", "variant").isNotNull() | F.try_variant_get(node, "$.offer", "variant").isNotNull() | F.try_variant_get(node, "$.prices", "variant").isNotNull()
-    known = first_key(node, (*KEYS["url"], *KEYS["sku"], *KEYS["image"])).isNotNull()
-    return F.length(name).between(3, 300) & (first_key(node, KEYS["price"]).isNotNull() | offers) & known
+
+    def fits(held: Column) -> Column:
+        known = _first(held, (*KEYS["url"], *KEYS["sku"], *KEYS["image"])).isNotNull()
+        return F.length(_first(held, KEYS["title"])).between(3, 300) & (_first(held, KEYS["price"]).isNotNull() | offers) & known
+
+    return C.bound(_values(node), fits)
 
 
 def node_record(node: Column) -> list[Column]:
-    """EXT-8: the fields of a product object, whatever its key names; offers and nested brands are looked into."""
-    offer = lambda names: F.coalesce(first_key(node, names), first_key(node, names, "$.offers"), first_key(node, names, "$.offers[0]"), first_key(node, names, "$.offer"))
-    cents = F.try_variant_get(node, "$.price.centAmount", "double") / 100
-    plain = {k: first_key(node, KEYS[k]) for k in ("title", "url", "sku", "gtin")}
-    brand = F.coalesce(_get(node, "$.brand.name"), _get(node, "$.brand[0].name"), first_key(node, KEYS["brand"]))
-    image = F.coalesce(_get(node, "$.image.url"), _get(node, "$.image[0].url"), _get(node, "$.image[0]"), first_key(node, KEYS["image"]))
-    rating = F.coalesce(first_key(node, KEYS["rating"]), first_key(node, KEYS["rating"], "$.aggregateRating"))
-    reviews = F.coalesce(first_key(node, KEYS["review_count"]), first_key(node, KEYS["review_count"], "$.aggregateRating"))
-    return [
-        plain["title"].alias("title"), F.coalesce(cents, C.number(offer(KEYS["price"])), C.number(_get(node, "$.offers.priceSpecification.price"))).alias("price"), C.number(offer(KEYS["original_price"])).alias("original_price"),
-        offer(("priceCurrency", "currency")).alias("currency"), C.availability_label(offer(("availability",))).alias("availability"), plain["url"].alias("url"), image.alias("image"), brand.alias("brand"), plain["sku"].alias("sku"),
-        plain["gtin"].alias("gtin"), _get(node, "$.mpn").alias("mpn"), C.number(rating).alias("rating"), C.number(reviews).alias("review_count"),
-    ]
+    """EXT-8: the fields of a product object, whatever its key names; offers and nested brands are looked into.
+
+    The fields are made together, as one generated row, so that no condition on them makes them anew.
+    """
+    seen = F.struct(
+        *(_values(node, path).alias(name) for name, path in {"own": "$", "offers": "$.offers", "first": "$.offers[0]", "offer": "$.offer", "rated": "$.aggregateRating"}.items()),
+        (F.try_variant_get(node, "$.price.centAmount", "double") / 100).alias("cents"), _get(node, "$.offers.priceSpecification.price").alias("specified"),
+        F.coalesce(_get(node, "$.brand.name"), _get(node, "$.brand[0].name")).alias("brand"), F.coalesce(_get(node, "$.image.url"), _get(node, "$.image[0].url"), _get(node, "$.image[0]")).alias("image"),
+    )
+
+    def fields(v: Column) -> Column:
+        own = lambda names: _first(v["own"], names)
+        offer = lambda names: F.coalesce(*(_first(v[held], names) for held in ("own", "offers", "first", "offer")))
+        rated = lambda names: F.coalesce(own(names), _first(v["rated"], names))
+        found = {
+            "title": own(KEYS["title"]), "price": F.coalesce(v["cents"], C.number(offer(KEYS["price"])), C.number(v["specified"])), "original_price": C.number(offer(KEYS["original_price"])),
+            "currency": offer(("priceCurrency", "currency")), "availability": C.bound(offer(("availability",)), C.availability_label), "url": own(KEYS["url"]), "image": F.coalesce(v["image"], own(KEYS["image"])),
+            "brand": F.coalesce(v["brand"], own(KEYS["brand"])), "sku": own(KEYS["sku"]), "gtin": own(KEYS["gtin"]), "mpn": own(("mpn",)), "rating": C.number(rated(KEYS["rating"])), "review_count": C.number(rated(KEYS["review_count"])),
+        }
+        return F.struct(*(c.alias(n) for n, c in found.items()))
+
+    return [F.inline(F.transform(F.array(seen), fields))]
 
 
 FIELDS = ("title", "price", "original_price", "currency", "availability", "url", "image", "brand", "sku", "gtin", "mpn", "rating", "review_count")
