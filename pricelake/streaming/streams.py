@@ -6,6 +6,7 @@ micro-batch (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds that.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,7 +125,8 @@ class Snapshots(StatefulProcessor):
     """Compares each snapshot of a site with the one before, once the watermark says that it is whole.
 
     last holds the items of the newest compared snapshot and is replaced as a whole, open those of snapshots that may
-    still grow and is appended to; of an item's rows in a snapshot the last to arrive counts.
+    still grow and is appended to; of an item's rows in a snapshot the last to arrive counts. A batch's rows of a snapshot
+    are one JSON text in state, as every row of state costs a message to the worker and back at each timer.
     """
 
     FIELDS = ("price", "availability")
@@ -134,44 +136,43 @@ class Snapshots(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getListState("last", "item_key string, price double, availability string")
-        self.open = handle.getListState("open", "at long, item_key string, price double, availability string, arrival long")
-        self.done = handle.getValueState("done", "at long")
+        self.last = handle.getValueState("last", "at long, rows string")
+        self.open = handle.getListState("open", "at long, rows string")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Rows of a batch table: the snapshot that the first one of the stream is compared with."""
-        rows = zip(*(initialState[c] for c in ("item_key", "price", "availability")), strict=True)
-        self.last.put([(item, _plain(price), _plain(stock)) for item, price, stock in rows])
-        self.done.update((int(initialState["at"].max().value // 1_000_000),))
+        rows = zip(*(initialState[c].tolist() for c in ("item_key", "price", "availability")), strict=True)
+        self.last.update((int(initialState["at"].max().value // 1_000_000), json.dumps([(item, _plain(price), _plain(stock)) for item, price, stock in rows])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = self.done.get()[0] if self.done.exists() else None
-        new = []
+        last = self.last.get()
+        done = None if last is None else last[0]
+        new: dict[int, list[tuple]] = {}
         for batch in rows:
-            for item, at, price, stock, arrival in zip(*(batch[c] for c in ("item_key", "at", "price", "availability", "arrival")), strict=True):
-                ms = int(at.value // 1_000_000)
+            times = (batch["at"].to_numpy("datetime64[ns]").astype("int64") // 1_000_000).tolist()
+            for ms, item, price, stock, arrival in zip(times, *(batch[c].tolist() for c in ("item_key", "price", "availability", "arrival")), strict=True):
                 if item is not None and (done is None or ms > done):
-                    new.append((ms, item, _plain(price), _plain(stock), int(arrival)))
+                    new.setdefault(ms, []).append((item, _plain(price), _plain(stock), int(arrival)))
         if new:
-            self.open.appendList(new)
-            for ms in {row[0] for row in new}:
+            self.open.appendList([(ms, json.dumps(found)) for ms, found in new.items()])
+            for ms in new:
                 self.handle.registerTimer(ms + self.BEYOND_MS)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs() - self.BEYOND_MS
-        rows = [tuple(row) for row in self.open.get()]
-        new = {row[1]: row[2:4] for row in sorted((r for r in rows if r[0] == at), key=lambda r: r[4])}
-        old = {row[0]: tuple(row[1:]) for row in self.last.get()}
+        held = [tuple(row) for row in self.open.get()]
+        new = {row[0]: tuple(row[1:3]) for row in sorted((r for ms, found in held if ms == at for r in json.loads(found)), key=lambda r: r[3])}
+        last = self.last.get()
+        old = {} if last is None else {item: tuple(values) for item, *values in json.loads(last[1])}
         site, seen, out = key[0], pd.Timestamp(at, unit="ms"), []
-        if self.done.exists():
+        if last is not None:
             out += [(site, seen, i, "_new_item", None, i) for i in new if i not in old]
             out += [(site, seen, i, "_removed_item", i, None) for i in old if i not in new]
             out += [(site, seen, i, f, _text(a), _text(b)) for i in new if i in old for f, a, b in zip(self.FIELDS, old[i], new[i], strict=True) if a != b]
-        self.last.put([(i, *values) for i, values in new.items()])
-        rest = [r for r in rows if r[0] > at]
+        self.last.update((at, json.dumps([(i, *values) for i, values in new.items()])))
+        rest = [(ms, found) for ms, found in held if ms > at]
         self.open.put(rest) if rest else self.open.clear()
-        self.done.update((at,))
         yield pd.DataFrame(out, columns=["site_id", "at", "item_key", "field", "old_value", "new_value"])
 
     def close(self) -> None:
