@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelake.functions.running import Past
+from pricelake.operators import long_series
 from pricelake.operators import series as S
 from pricelake.operators.long_series import limits
 
@@ -71,3 +72,25 @@ def test_running_median_is_the_plain_one():
     past = Past(values=values)
     m = statistics.median(values)
     assert past.median() == m and past.deviation(m) == statistics.median(abs(v - m) for v in values)
+
+
+def test_slices_grow_with_a_series(spark, monkeypatch):
+    """Their number stays, so counts by bin and slice, its square, do not outgrow the series; flags are the same."""
+    for n in (10**5, 10**7, 10**9, 10**11):
+        size = long_series.rows_of_slice(n, 200)
+        assert (n / size) ** 2 <= max(1.01 * n, (long_series.SLICES + 1) ** 2)
+    assert long_series.rows_of_slice(20_000, 200) == 200
+    monkeypatch.setattr(long_series, "SLICES", 6)
+    tables = {}
+    keep = long_series.written
+    monkeypatch.setattr(long_series, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    values = series_of("cents", 240, random.Random(5))
+    past, want = Past(), []
+    for v in values:
+        want.append(v is not None and past.outlier(v, 1.5, 6))
+        if v is not None:
+            past.add(v)
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate(values)], "k int, t int, v double")
+    got = S.outliers(df, "v", "k", ["t"], z=1.5, held=50, slice_rows=7)
+    assert [r["outlier"] for r in sorted(got.collect(), key=lambda r: r["t"])] == want
+    assert tables["values"].agg(F.max("slice")).first()[0] < 6 and any(want)
