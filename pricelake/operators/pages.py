@@ -258,11 +258,13 @@ _NUMBER = r"(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 def fallback_price(html: Column) -> Column:
     """EXT-14: amount and currency from an element that looks like a price, else the first tagged number in the text."""
     codes = "|".join(C.CURRENCY_CODES)
-    # A tag is looked for once and then bound, as each further mention of an expression over the page may search the page anew.
-    tags = F.array(*(F.regexp_extract(html, rf"(?s)(<[^>]*{mark}[^>]*>[^<]*)", 1) for mark in PRICE_MARKS))
+    # One after the other: a page is searched for a mark only if it holds the mark's words and none before gave a number,
+    # and its text only at the end.
     value = lambda tag: F.coalesce(*(F.nullif(F.regexp_extract(tag, rf'\s{a}="([^"]*)"', 1), F.lit("")) for a in ("content", "data-price", "data-price-amount", "value")), F.regexp_extract(tag, r"(?s)>([^<]*)$", 1))
+    fit = lambda c: F.when(C.number(c) > 0, c)
+    marked = lambda mark: F.when(reduce(lambda a, b: a & b, (html.contains(w) for w in mark.split('[^"]*'))), C.bound(F.regexp_extract(html, rf"(?s)(<[^>]*{mark}[^>]*>[^<]*)", 1), lambda tag: C.bound(value(tag), fit)))
     token = F.regexp_extract(body_text(html), rf"({_SYMBOL}\s?{_NUMBER}|(?:{codes})\s?{_NUMBER}|{_NUMBER}\s?(?:{codes}))", 1)
-    chosen = F.get(F.filter(F.concat(F.transform(tags, value), F.array(token)), lambda c: C.number(c) > 0), 0)
+    chosen = F.coalesce(*map(marked, PRICE_MARKS), C.bound(token, fit))
     return C.bound(chosen, lambda c: F.when(c.isNotNull(), C.price(c)))
 
 
