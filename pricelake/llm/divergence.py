@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,28 +59,31 @@ def chunk_counts(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         inside: dict[tuple[str, str], Counter] = defaultdict(Counter)
         # How often a chunk stands in documents besides the first time in each.
-        again: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        again: dict[tuple[str, str], dict] = defaultdict(dict)
 
         def table():
             columns: list[list] = [[], [], [], [], []]
             for (lang, source), d in inside.items():
                 d[b""] = 0
-                more = again[lang, source]
-                n = [times + more[c] for c, times in d.items()] if more else list(d.values())
-                for column, values in zip(columns, ([lang] * len(d), [source] * len(d), d, n, d.values()), strict=True):
-                    column.extend(values)
+                n = dict(d)
+                for c, times in again[lang, source].items():
+                    n[c] += times
+                found = (pa.repeat(pa.scalar(lang, pa.string()), len(d)), pa.repeat(pa.scalar(source, pa.string()), len(d)), pa.array(list(d), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(d.values()), pa.int64()))
+                for column, values in zip(columns, found, strict=True):
+                    column.append(values)
             inside.clear(), again.clear()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "chunk", "n", "d"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "source", "chunk", "n", "d"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                counts = Counter(chunks_of(text))
+                chunks = chunks_of(text)
+                counts = Counter(chunks)
                 inside[lang, source].update(counts.keys())
-                extra = again[lang, source]
-                for c, n in counts.items():
-                    if n > 1:
-                        extra[c] += n - 1
+                if len(counts) < len(chunks):
+                    extra = again[lang, source]
+                    for c, n in counts.items():
+                        if n > 1:
+                            extra[c] = extra.get(c, 0) + n - 1
             if sum(map(len, inside.values())) >= GATHERED:
                 yield table()
         if inside:
@@ -140,13 +144,12 @@ def rare_chunks(documents: DataFrame, marked: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            key, lang, text = (batch.column(i).to_pylist() for i in range(3))
-            sets = [list(set(chunks_of(t))) for t in text]
-            flat = [c for s in sets for c in s]
-            code = np.fromiter((zlib.crc32(c) for c in flat), np.int64, len(flat)) % BITS
+            sets = [set(chunks_of(t)) for t in batch.column(2).to_pylist()]
+            flat = list(chain.from_iterable(sets))
+            code = np.fromiter(map(zlib.crc32, flat), np.int64, len(flat)) & (BITS - 1)
             hit = np.flatnonzero(bits[code >> 3] >> (7 - (code & 7)).astype(np.uint8) & 1)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
-            yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in owner], pa.int64()), pa.array([lang[i] for i in owner], pa.string()), pa.array([flat[i] for i in hit], pa.string())], ["document", "lang", "chunk"])
+            owner = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array([flat[i] for i in hit.tolist()], pa.string())], ["document", "lang", "chunk"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("document"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_bytes())
     return rows.mapInArrow(run, "document long, lang string, chunk string")
