@@ -8,7 +8,7 @@ from pricelake.functions.columns import number, rounded
 from pricelake.operators import elements as E
 from pricelake.operators import pages as X
 from pricelake.operators.tables import archived, latest_pages
-from pricelake.sources.inputs import list_pages, parts, product_pages, table
+from pricelake.sources.inputs import list_page_parts, list_pages, parts, product_pages, table
 
 from .registry import query
 
@@ -102,7 +102,8 @@ def ext_9(spark, d):
 @query("ext_9_items_by_selectors", "SELECT trim(p_brand) AS page, 'name' AS field, p_name AS value FROM part UNION ALL SELECT trim(p_brand), 'link', concat('/item/', p_partkey) FROM part")
 def ext_9_items(spark, d):
     spec = [{"name": "name", "selector": ".name"}, {"name": "link", "selector": "a", "attribute": "href"}]
-    return E.by_selectors(_lists(spark, d), "page", spec, ".product-card").select("page", "field", "value")
+    pages = list_page_parts(spark, d).withColumnRenamed("brand", "page")
+    return E.by_selectors(pages, "page", spec, ".product-card", "part").select("page", "field", "value")
 
 
 _PLAIN = "concat(CAST(CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) // 100 AS VARCHAR), '.', lpad(CAST(CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0'))"
